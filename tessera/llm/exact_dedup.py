@@ -33,6 +33,8 @@ from .common import SPACE_CLASS, cut, new_path, text_of
 SALT_ROWS = 2000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Without it every state partition sets aside several MB of disk, whatever it holds.
+_ALLOCATE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
 
 
 def normalised(text: Column) -> Column:
@@ -73,8 +75,9 @@ def keyed_state(log_path: str, schema, spark) -> DataFrame:
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    had = spark.conf.get(_PROVIDER, None)
+    had = {k: spark.conf.get(k, None) for k in (_PROVIDER, _ALLOCATE)}
     spark.conf.set(_PROVIDER, ROCKSDB)
+    spark.conf.set(_ALLOCATE, "false")
     try:
         query = (
             spark.readStream.schema(schema).parquet(log_path)
@@ -84,7 +87,8 @@ def keyed_state(log_path: str, schema, spark) -> DataFrame:
         )
         query.awaitTermination()
     finally:
-        spark.conf.unset(_PROVIDER) if had is None else spark.conf.set(_PROVIDER, had)
+        for k, v in had.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     kept = "digest string, best struct<neg_points:bigint,no_id:boolean,doc_id:bigint,crc:bigint>, arrived bigint, batch int"
     try:
         seen = spark.read.schema(kept).option("recursiveFileLookup", "true").parquet(out)
