@@ -83,8 +83,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def word_hashes(data: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words of one text, given as its UTF-8 bytes (uint8)."""
+def word_hashes(data: np.ndarray, prefixes: tuple[int, ...] = ()) -> np.ndarray:
+    """64-bit hashes of the words of one text, given as its UTF-8 bytes (uint8); after them, for each length in
+    ``prefixes``, those of the beginnings of so many bytes of the longer words."""
     if not len(data):
         return np.zeros(0, dtype=np.uint64)
     edge = np.diff(np.concatenate(([True], _IS_SPACE[data], [True])).astype(np.int8))
@@ -95,7 +96,11 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
     prefix = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=prefix[1:])
     value = (prefix[ends] - prefix[starts]) * down[starts]
-    return mix64(value + (ends - starts).astype(np.uint64) * _MUL)
+    out = [mix64(value + (ends - starts).astype(np.uint64) * _MUL)]
+    for n in prefixes:
+        at = starts[ends - starts > n]
+        out.append(mix64((prefix[at + n] - prefix[at]) * down[at] ^ np.uint64(n)))
+    return np.concatenate(out) if prefixes else out[0]
 
 
 def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:

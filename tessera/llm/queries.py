@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, quality, sharding
+from . import exact_dedup, langid, minhash, mixing, packing, quality, sharding, tokens, toxicity
 from .common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,41 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"))
+
+
+#: Target shares of the mixture: equal for the twenty sources.
+TARGETS = {f"src{i}": 0.05 for i in range(20)}
+
+
+def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(load(spark, sf_dir, "documents"), TARGETS).select("doc_id", "source", "n_chars", "copy", "mix_key")
+
+
+def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = tokens.write_tokens(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokens.read_summary(spark, path)
+
+
+def op6_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = langid.train(docs, ~langid.held_out())
+    found = langid.predict(docs, model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(load(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
+def op8_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return toxicity.predict(docs, toxicity.train(docs, load(spark, sf_dir, "labels")))
+
+
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, _ = sharding.shard(load(spark, sf_dir, "documents"), n_shards=8)
     return placed.select(
@@ -32,11 +67,32 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_length_buckets": op2_length_buckets,
+    "op3_token_blocks": op3_token_blocks,
+    "op5_poisson_mixing": op5_poisson_mixing,
+    "op6_nearest_centroid": op6_nearest_centroid,
+    "op7_dart_minhash": op7_dart_minhash,
+    "op8_ordinal_toxicity": op8_ordinal_toxicity,
     "op9_virtual_slots": op9_virtual_slots,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_poisson_mixing": """
+        WITH sizes AS (SELECT source, sum(length(coalesce(text, '')) + 1) AS size FROM documents GROUP BY source),
+             total AS (SELECT sum(size) AS total FROM sizes),
+             listed AS (SELECT *, CASE WHEN regexp_full_match(source, 'src(1?[0-9])') THEN 0.05 END AS weight FROM sizes),
+             rest AS (SELECT greatest(0, 1 - coalesce(sum(weight), 0)) AS spare, sum(CASE WHEN weight IS NULL THEN size END) AS size FROM listed),
+             rates AS (SELECT l.source, coalesce(weight, spare * l.size / rest.size) * total / l.size AS rate FROM listed l, total, rest),
+             pmf AS (SELECT source, k, CASE WHEN k = 0 THEN exp(-rate) ELSE exp(k * ln(rate) - rate - lgamma(k + 1)) END AS p
+                     FROM rates, range(0, 400) t(k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 20)),
+             cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM pmf),
+             drawn AS (SELECT doc_id, source, n_chars, (CAST('0x' || substr(md5('5|' || doc_id), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u FROM documents),
+             counted AS (SELECT d.doc_id, d.source, d.n_chars, count(*) AS copies FROM drawn d JOIN cdf ON cdf.source IS NOT DISTINCT FROM d.source AND d.u >= cdf.c
+                         GROUP BY ALL),
+             spread AS (SELECT doc_id, source, n_chars, CAST(unnest(range(0, copies)) AS INTEGER) AS copy FROM counted)
+        SELECT *, CAST('0x' || substr(md5('5|' || doc_id || '|' || copy), 1, 15) AS BIGINT) AS mix_key FROM spread
+    """,
     "op10_exact_dedup": r"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256
                    FROM documents),
