@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, minhash, mixing, packing, quality, sharding, tokens, toxicity
+from . import exact_dedup, langid, minhash, mixing, packing, quality, sharding, substrings, tokens, toxicity
 from .common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,11 @@ def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_summary(spark, path)
 
 
+def op4_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = langid.train(docs, ~langid.held_out())
@@ -69,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_length_buckets": op2_length_buckets,
     "op3_token_blocks": op3_token_blocks,
+    "op4_suffix_groups": op4_suffix_groups,
     "op5_poisson_mixing": op5_poisson_mixing,
     "op6_nearest_centroid": op6_nearest_centroid,
     "op7_dart_minhash": op7_dart_minhash,
