@@ -151,11 +151,11 @@ def shingle_sets(docs: DataFrame, weighting: str = "binary") -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) whose exact similarity reaches the threshold. The sets meet by a shuffle; the many pairs
-    of one popular document are split by Spark's skew join."""
+    """Pairs (a, b) whose exact similarity reaches the threshold. The sets grow with the corpus, so they always meet
+    by a shuffle; the many pairs of one popular document are split by Spark's skew join."""
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea")), sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb"))
     both = F.size(F.array_intersect("ea", "eb"))
-    return pairs.join(left, "a").join(right, "b").where(both >= similarity * (F.size("ea") + F.size("eb") - both)).select("a", "b")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(both >= similarity * (F.size("ea") + F.size("eb") - both)).select("a", "b")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -202,7 +202,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "b
     stars = met.where((F.col("doc_id") != F.col("hub.doc_id")) & size_ok).select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     stars = cut(stars, "stars")
     near = met.select("doc_id").distinct()
-    sets = cut(shingle_sets(keyed.join(near, "doc_id", "left_semi").dropDuplicates(["doc_id"]), weighting), "sets")
+    sets = cut(shingle_sets(keyed.join(near.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), weighting), "sets")
     links = cut(verified(stars, sets, similarity), "star-links")
     root = components(links)
 
