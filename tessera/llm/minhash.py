@@ -12,7 +12,8 @@ Equal texts (word for word) are put together first and stand for each other; one
 ``BANDS`` band keys of a signature find candidates. In a group of one band key every representative is compared
 with one hub only (the member whose band groups are largest, the likely original of a family); verified links give classes (connected components). After that,
 representatives of one band group that are still in different classes are compared too, class against class, so no
-candidate pair that could join two classes is left out; pairs inside one class are not emitted. All
+candidate pair that could join two classes is left out; pairs inside one class are not emitted, nor pairs that
+share too few elements with any other document to reach the similarity. All
 comparisons are exact (sorted shingle hashes), at similarity ``SIMILARITY`` or more. With 24 bands of 5, a pair at
 0.8 is missed with probability 7e-5, and less above.
 
@@ -178,6 +179,18 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("links did not settle")
 
 
+def _with_partners(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Drop rows that can have no link to another class: ``common`` counts the elements that some other of these
+    documents has too, and a link takes at least ``similarity`` of all. An exact bound, so nothing is lost; it spares
+    the pairs of large families whose members each differ from the original a little too much."""
+    own = sets.join(placed.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode("elements").alias("e"))
+    alone = own.groupBy("e").agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("doc_id")).where("k = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
+    left = placed.drop("common").join(alone, "doc_id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    left = left.where(F.col("common") >= similarity * F.col("n") - 1e-6)
+    mixed = left.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    return left.join(mixed, "band", "left_semi")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "binary") -> DataFrame:
     """doc_id, class_id (smallest doc_id of its class) and class_size of every row of ``docs``."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.trim(F.regexp_replace(text_of(), r"[\x20\x09-\x0D]+", " ")).alias("text"))
@@ -210,8 +223,12 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "b
     placed = met.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
     placed = cut(placed.join(mixed, "band", "left_semi"), "placed")
+    for _ in range(2):
+        placed = cut(_with_partners(placed, sets, similarity), "placed")
     x, y = placed.alias("x"), placed.alias("y")
     apart = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root")) & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n"))
+    # No pair can share more than either has in common with anyone.
+    apart = apart & (F.least("x.common", "y.common") >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6)
     rest = x.join(y, apart).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
     more = cut(verified(cut(rest, "rest"), sets, similarity), "rest-links")
     if not more.isEmpty():
