@@ -21,7 +21,7 @@ def path():
     return public.path("byte_bpe_50k.json")
 
 
-TEXTS = [*AWKWARD, "<|endoftext|> in the text <|endoftext|>", "it's   we'll  \n\n \t x", "  two  spaces  ", "12 3456 ½ ²", "​zero‍width", *[f"document {i} " * (i % 7) for i in range(200)]]
+TEXTS = [*AWKWARD, "a\x1cb \x1c\x1c c\x0b\x0c \x85\xa0 d", "I'll can't 12ab_c-d,,  e", "<|endoftext|> in the text <|endoftext|>", "it's   we'll  \n\n \t x", "  two  spaces  ", "12 3456 ½ ²", "​zero‍width", *[f"document {i} " * (i % 7) for i in range(200)]]
 
 
 def test_token_files_match_the_library(spark):
