@@ -38,7 +38,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 HASHES = BANDS * ROWS
 #: Rank regions: [0, 2**LOWEST), then doubling.
-LOWEST = -8
+LOWEST = -3
 
 
 @lru_cache(maxsize=256)
@@ -77,16 +77,17 @@ def darts(elements: np.ndarray, weights: np.ndarray | None = None, k: int = HASH
         while bottom < top:
             own, own_w = (elements, weights) if bottom == 0 or weights is None else (elements[weights > bottom], weights[weights > bottom])
             mean = (ceiling - bottom) * (high - low)
-            n = np.searchsorted(_poisson_cdf(mean), _unit(mix64(own ^ _seed(1, steps, layer))), side="right")
-            hit = np.flatnonzero(n)
+            cdf, u = _poisson_cdf(mean), _unit(mix64(own ^ _seed(1, steps, layer)))
+            hit = np.flatnonzero(u >= cdf[0])
             if len(hit):
-                who = np.repeat(hit, n[hit])
-                nth = np.arange(len(who)) - np.repeat(np.cumsum(n[hit]) - n[hit], n[hit])
+                n = np.searchsorted(cdf, u[hit], side="right")
+                who = np.repeat(hit, n)
+                nth = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
                 dart = mix64(own[who] ^ (nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ _seed(2, steps, layer))
                 if weights is not None:
                     dart = dart[bottom + (ceiling - bottom) * _unit(mix64(dart ^ _seed(3))) < own_w[who]]
                 rank, at = low + (high - low) * _unit(mix64(dart ^ _seed(4))), (mix64(dart ^ _seed(5)) % np.uint64(k)).astype(np.int64)
-                order = np.lexsort((dart, rank))[::-1]  # the earliest is written last
+                order = np.argsort(rank, kind="stable")[::-1]  # the earliest is written last
                 first = np.full(k, -1)
                 first[at[order]] = order
                 new = np.flatnonzero(first >= 0)
