@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(load(spark, sf_dir, "documents"))
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,58 @@ QUERIES: dict[str, Query] = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+def _quality_oracle() -> str:
+    """The features, votes, estimation and verdict of ``quality`` in plain SQL; the estimation is a recursive query."""
+    q = quality
+    words = ", ".join(f"'{w}'" for w in dict.fromkeys(q.FUNCTION_WORDS))
+    vote = ", ".join(f"CASE WHEN {r.good} THEN 1 WHEN {r.bad} THEN -1 ELSE 0 END" for r in q.RULES)
+    m = len(q.RULES)
+    evidence = "list_sum(list_transform(range(1, {m} + 1), lambda j: p.v[j] * ln(acc[j] / (1 - acc[j]))))".format(m=m)
+    total = lambda body: f"list_sum(list_transform(range(1, len(found) + 1), lambda k: {body}))"
+    right = total("found[k].n * CASE found[k].v[j] WHEN 1 THEN q[k] WHEN -1 THEN 1 - q[k] ELSE 0 END")
+    odds = " + ".join(f"votes[{j}] * ln(acc[{j}] / (1 - acc[{j}]))" for j in range(1, m + 1))
+    return rf"""
+        WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+        spot AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS run FROM w, range(1, len(words) - 6) r(i)),
+        twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, run) AS c FROM spot),
+        steps AS (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS step FROM twice WHERE c > 1),
+        repeated AS (SELECT doc_id, CAST(sum(step) AS BIGINT) AS n FROM steps GROUP BY doc_id),
+        f AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+                     CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(length(regexp_replace(text, '[^A-ZÀ-Þ]+', '', 'g')) AS BIGINT) AS n_capitals,
+                     len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+                     len(list_filter(lines, lambda x: regexp_matches(rtrim(x, ' '), '[.!?"''…»”]$'))) AS n_ended_lines, len(list_intersect(words, [{words}])) AS n_function_words,
+                     coalesce(r.n, 0) AS n_repeat_words FROM w LEFT JOIN repeated r USING (doc_id)),
+        voted AS (SELECT *, [{vote}] AS votes FROM f),
+        pat AS (SELECT list({{'v': votes, 'n': n}} ORDER BY votes) AS found FROM (SELECT votes, CAST(count(*) AS DOUBLE) AS n FROM voted GROUP BY votes)),
+        em(i, acc, share) AS (
+            SELECT 0, [0.8::DOUBLE for x in range({m})], 0.8::DOUBLE
+            UNION ALL
+            SELECT i + 1,
+                   list_transform(range(1, {m} + 1), lambda j: greatest({q.LEAST_ACCURACY}::DOUBLE, least({q.MOST_ACCURACY}::DOUBLE, ({q.PRIOR_RIGHT} + {right}) / ({q.PRIOR_RIGHT + q.PRIOR_WRONG} + {total("found[k].n * abs(found[k].v[j])")})))),
+                   greatest(0.05, least(0.98, (4 + {total("found[k].n * q[k]")}) / (5 + {total("found[k].n")})))
+            FROM (SELECT i, acc, share, found, list_transform(found, lambda p: 1 / (1 + exp(-(ln(share / (1 - share)) + {evidence})))) AS q FROM em, pat WHERE i < {q.ITERATIONS}) s),
+        fit AS (SELECT acc, share FROM em WHERE i = {q.ITERATIONS}),
+        scored AS (SELECT voted.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, 1 / (1 + exp(-(ln(share / (1 - share)) + {odds}))) AS p FROM voted, fit)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= 0.5 AS kept FROM scored
+    """
+
+
 ORACLES: dict[str, str] = {
+    "op1_quality_rules": _quality_oracle(),
+    "op4_suffix_groups": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+             w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s FROM d, range(0, greatest(length(h) // 2 - 99, 0)) t(p)),
+             later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM w) x WHERE k > 1),
+             steps AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS opens FROM later),
+             spans AS (SELECT doc_id, min(p) AS lo, max(p) + 100 AS hi FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM steps) y GROUP BY doc_id, g),
+             gaps AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS low FROM spans),
+             cuts AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(hi - lo) AS BIGINT) AS n_removed, max(hi) AS tail, string_agg(substr(h, 2 * low + 1, 2 * (lo - low)), '' ORDER BY lo) AS head
+                      FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN cuts USING (doc_id)
+    """,
     "op5_poisson_mixing": """
         WITH sizes AS (SELECT source, sum(length(coalesce(text, '')) + 1) AS size FROM documents GROUP BY source),
              total AS (SELECT sum(size) AS total FROM sizes),
