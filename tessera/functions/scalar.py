@@ -101,7 +101,7 @@ def concat(*xs): return F.concat(*map(text, xs))
 def concat_ws(sep, *xs):
     """NULL for a NULL separator; NULL arguments are left out."""
     present = F.filter(F.array(*map(text, xs)), lambda x: x.isNotNull())
-    return F.when(text(sep).isNotNull(), F.array_join(present, text(sep) if not isinstance(sep, str) else sep))
+    return F.when(text(sep).isNotNull(), F.call_function("array_join", present, text(sep)))
 _SPACE = r"[\s\u0085   -     　]+"
 def ltrim(s): return F.regexp_replace(text(s), "^" + _SPACE, "")
 def rtrim(s): return F.regexp_replace(text(s), _SPACE + "$", "")

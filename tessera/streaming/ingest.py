@@ -144,5 +144,7 @@ def load_stream(spark: SparkSession, folder: str, checkpoint: str, targets: list
 
 def windowed_counts(events: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
     """An extension beyond table loading: events in tumbling windows, with a watermark on streams."""
-    stamped = events.withWatermark("ts", late) if events.isStreaming else events
-    return stamped.groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+    stamped = events.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks are on instants
+    stamped = stamped.withWatermark("ts", late) if events.isStreaming else stamped
+    counted = stamped.groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.col("window.start").cast(events.schema["ts"].dataType).alias("start"), "event_type", "n")
