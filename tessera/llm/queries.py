@@ -27,7 +27,7 @@ TARGETS = {f"src{i}": 0.05 for i in range(20)}
 
 
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(load(spark, sf_dir, "documents"), TARGETS).select("doc_id", "source", "n_chars", "copy", "mix_key")
+    return mixing.mix(load(spark, sf_dir, "documents"), TARGETS).select("doc_id", "text", "source", "n_chars", "copy", "mix_key")
 
 
 def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,10 +144,10 @@ ORACLES: dict[str, str] = {
              pmf AS (SELECT source, k, CASE WHEN k = 0 THEN exp(-rate) ELSE exp(k * ln(rate) - rate - lgamma(k + 1)) END AS p
                      FROM rates, range(0, 400) t(k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 20)),
              cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM pmf),
-             drawn AS (SELECT doc_id, source, n_chars, (CAST('0x' || substr(md5('5|' || doc_id), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u FROM documents),
-             counted AS (SELECT d.doc_id, d.source, d.n_chars, count(*) AS copies FROM drawn d JOIN cdf ON cdf.source IS NOT DISTINCT FROM d.source AND d.u >= cdf.c
+             drawn AS (SELECT doc_id, text, source, n_chars, (CAST('0x' || substr(md5('5|' || doc_id), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u FROM documents),
+             counted AS (SELECT d.doc_id, d.text, d.source, d.n_chars, count(*) AS copies FROM drawn d JOIN cdf ON cdf.source IS NOT DISTINCT FROM d.source AND d.u >= cdf.c
                          GROUP BY ALL),
-             spread AS (SELECT doc_id, source, n_chars, CAST(unnest(range(0, copies)) AS INTEGER) AS copy FROM counted)
+             spread AS (SELECT doc_id, text, source, n_chars, CAST(unnest(range(0, copies)) AS INTEGER) AS copy FROM counted)
         SELECT *, CAST('0x' || substr(md5('5|' || doc_id || '|' || copy), 1, 15) AS BIGINT) AS mix_key FROM spread
     """,
     "op10_exact_dedup": r"""
