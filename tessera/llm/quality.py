@@ -1,12 +1,13 @@
 """Quality rules as weak supervision (DataFrame functions only).
 
 Each rule looks at one feature of a text and votes good (+1), bad (-1) or abstains (0). Expectation
-maximisation over the counts of vote patterns estimates each rule's accuracy and the share of good
-documents, and the posterior probability of "good" decides, in place of "all rules must pass".
+maximisation over the counts of vote patterns estimates each rule's accuracies (on good and on bad documents) and
+the share of good documents, and the posterior probability of "good" decides, in place of "all rules must pass". With an
+accuracy for each class, a rule that votes good on nearly everything is no evidence when it does so again.
 
 The counts are over all rows. They are gathered in one row, which has at most 3 ** (number of rules)
 entries whatever the size of the corpus; the estimation itself is one SQL expression over that row, and
-its result (one number for each rule and one more) is written into the scoring expression as literals.
+its result (two numbers for each rule and one more) is written into the scoring expression as literals.
 
 Defined results: a null or empty text has no words, so it fails the base rule; repeated rows are
 scored alike; an empty table gives an empty result; columns besides doc_id and text are ignored, and
@@ -17,7 +18,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,9 +33,10 @@ FUNCTION_WORDS = (
 ).split()
 WINDOW = 8
 ITERATIONS = 40
-#: Beta prior of a rule's accuracy, in counts, and of the share of good documents.
-PRIOR_RIGHT, PRIOR_WRONG = 8.0, 2.0
-LEAST_ACCURACY, MOST_ACCURACY = 0.55, 0.99
+#: Where estimation starts: accuracy on good and on bad documents, share of good ones. The accuracies' priors have the
+#: same means and so many counts; the bounds keep single votes from being proof.
+START_GOOD, START_BAD, START_SHARE, PRIOR = 0.95, 0.3, 0.75, 20.0
+BOUNDS_GOOD, BOUNDS_BAD, BOUNDS_SHARE = (0.6, 0.999), (0.05, 0.95), (0.05, 0.98)
 
 
 @dataclass(frozen=True)
@@ -55,7 +56,7 @@ RULES = (
     Rule("repetition", "10 * n_repeat_words <= n_words", "10 * n_repeat_words > 3 * n_words"),
     Rule("capitals", "4 * n_capitals <= word_chars", "2 * n_capitals > word_chars"),
     Rule("line_ends", "2 * n_ended_lines >= n_lines", "10 * n_ended_lines < n_lines and n_lines >= 3"),
-    Rule("function_words", "n_function_words >= 2", "n_function_words = 0 and n_words >= 20"),
+    Rule("prose", "10 * n_function_words >= n_words", "100 * n_function_words < 3 * n_words and n_words >= 20"),
 )
 
 
@@ -70,7 +71,7 @@ def features(docs: DataFrame) -> DataFrame:
         F.char_length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.char_length(F.regexp_replace("text", r"[^A-ZÀ-Þ]+", "")).cast("long").alias("n_capitals"),
     )
-    function_words = F.array(*map(F.lit, dict.fromkeys(FUNCTION_WORDS)))
+    function_words = [*dict.fromkeys(FUNCTION_WORDS)]
     a = a.select(
         "doc_id", "n_symbols", "n_capitals",
         F.size("words").cast("long").alias("n_words"),
@@ -78,7 +79,7 @@ def features(docs: DataFrame) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("lines", lambda x: F.rtrim(x).rlike(r"[.!?\"'…»”]$"))).cast("long").alias("n_ended_lines"),
-        F.size(F.array_intersect("words", function_words)).cast("long").alias("n_function_words"),
+        F.size(F.filter("words", lambda w: w.isin(function_words))).cast("long").alias("n_function_words"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
     run = "xxhash64(" + ", ".join(f"hashes[i + {k}]" for k in range(WINDOW)) + ")"
@@ -105,35 +106,42 @@ def patterns(voted: DataFrame) -> DataFrame:
 
 
 def estimate(counted: DataFrame, n_rules: int, iterations: int = ITERATIONS) -> DataFrame:
-    """Accuracies of the rules and share of good documents, as one row (accuracy array<double>, share double).
+    """Accuracies of the rules on good and on bad documents, and the share of good ones, as one row
+    (good array<double>, bad array<double>, share double).
 
     E-step: the posterior of each pattern; M-step: weighted counts with the priors above."""
-    evidence = "aggregate(s.accuracy, struct(0D as sum, 0 as j), (e, a) -> struct(e.sum + p.votes[e.j] * ln(a / (1D - a)) as sum, e.j + 1 as j)).sum"
+    vote = "case p.votes[e.j] when 1 then ln(g / (1D - s.bad[e.j])) when -1 then ln((1D - g) / s.bad[e.j]) else 0D end"
+    evidence = f"aggregate(s.good, struct(0D as sum, 0 as j), (e, g) -> struct(e.sum + {vote} as sum, e.j + 1 as j)).sum"
     posterior = f"transform(found, p -> 1D / (1D + exp(-(ln(s.share / (1D - s.share)) + {evidence}))))"
     total = lambda body: f"aggregate(sequence(0, size(found) - 1), 0D, (t, k) -> t + {body})"
-    right = total("found[k].n * if(found[k].votes[j] = 1, q[k], if(found[k].votes[j] = -1, 1D - q[k], 0D))")
-    spoke = total("found[k].n * abs(found[k].votes[j])")
-    accuracy = f"transform(s.accuracy, (a, j) -> greatest({LEAST_ACCURACY}D, least({MOST_ACCURACY}D, ({PRIOR_RIGHT}D + {right}) / ({PRIOR_RIGHT + PRIOR_WRONG}D + {spoke}))))"
-    share = f"greatest(0.05D, least(0.98D, (4D + {total('found[k].n * q[k]')}) / (5D + {total('found[k].n')})))"
-    step = f"transform(array({posterior}), q -> named_struct('accuracy', {accuracy}, 'share', {share}))[0]"
-    start = f"named_struct('accuracy', array_repeat(0.8D, {n_rules}), 'share', 0.8D)"
+    bound = lambda x, b: f"greatest({b[0]}D, least({b[1]}D, {x}))"
+    ratio = lambda start, sign, weight: (
+        f"({start * PRIOR}D + {total(f'found[k].n * {weight} * if(found[k].votes[j] = {sign}, 1, 0)')}) / ({PRIOR}D + {total(f'found[k].n * {weight} * abs(found[k].votes[j])')})"
+    )
+    good = f"transform(s.good, (x, j) -> {bound(ratio(START_GOOD, 1, 'q[k]'), BOUNDS_GOOD)})"
+    bad = f"transform(s.bad, (x, j) -> {bound(ratio(START_BAD, -1, '(1D - q[k])'), BOUNDS_BAD)})"
+    mean = f"({START_SHARE * PRIOR}D + {total('found[k].n * q[k]')}) / ({PRIOR}D + {total('found[k].n')})"
+    step = f"transform(array({posterior}), q -> named_struct('good', {good}, 'bad', {bad}, 'share', {bound(mean, BOUNDS_SHARE)}))[0]"
+    start = f"named_struct('good', array_repeat({START_GOOD}D, {n_rules}), 'bad', array_repeat({START_BAD}D, {n_rules}), 'share', {START_SHARE}D)"
     one = counted.agg(F.sort_array(F.collect_list(F.struct("votes", "n"))).alias("found"))
     fitted = F.expr(f"aggregate(sequence(1, {iterations}), {start}, (s, i) -> if(size(found) = 0, s, {step}))")
-    return one.select(fitted.alias("m")).select("m.accuracy", "m.share")
+    return one.select(fitted.alias("m")).select("m.good", "m.bad", "m.share")
 
 
-def posterior(accuracy: list[float], share: float) -> Column:
+def posterior(good: list[float], bad: list[float], share: float) -> Column:
     """Probability that a document with the column ``votes`` is good."""
-    weigh = (F.col("votes")[j] * F.lit(math.log(a / (1 - a))) for j, a in enumerate(accuracy))
-    odds = reduce(lambda x, y: x + y, weigh, F.log(F.lit(share / (1 - share))))
+    odds = F.lit(math.log(share / (1 - share)))
+    for j, (g, b) in enumerate(zip(good, bad, strict=True)):
+        vote = F.col("votes")[j]
+        odds = odds + F.when(vote == 1, math.log(g / (1 - b))).when(vote == -1, math.log((1 - g) / b)).otherwise(0.0)
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
 def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
     """doc_id, features, votes, base_failed, quality (the posterior) and kept, a row for each row of ``docs``."""
     voted = cut(features(docs).withColumn("votes", votes(rules)), "votes")
-    fitted = estimate(patterns(voted), len(rules)).first()  # one row: a number for each rule, and one more
-    scored = voted.withColumn("quality", posterior(fitted["accuracy"], fitted["share"])).withColumn("base_failed", base_failed())
+    fitted = estimate(patterns(voted), len(rules)).first()  # one row: two numbers for each rule, and one more
+    scored = voted.withColumn("quality", posterior(fitted["good"], fitted["bad"], fitted["share"])).withColumn("base_failed", base_failed())
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
 

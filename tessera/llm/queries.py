@@ -89,10 +89,17 @@ def _quality_oracle() -> str:
     words = ", ".join(f"'{w}'" for w in dict.fromkeys(q.FUNCTION_WORDS))
     vote = ", ".join(f"CASE WHEN {r.good} THEN 1 WHEN {r.bad} THEN -1 ELSE 0 END" for r in q.RULES)
     m = len(q.RULES)
-    evidence = "list_sum(list_transform(range(1, {m} + 1), lambda j: p.v[j] * ln(acc[j] / (1 - acc[j]))))".format(m=m)
+    vote_odds = "CASE {v} WHEN 1 THEN ln(good[j] / (1 - bad[j])) WHEN -1 THEN ln((1 - good[j]) / bad[j]) ELSE 0 END"
+    evidence = f"list_sum(list_transform(range(1, {m} + 1), lambda j: {vote_odds.format(v='p.v[j]')}))"
     total = lambda body: f"list_sum(list_transform(range(1, len(found) + 1), lambda k: {body}))"
-    right = total("found[k].n * CASE found[k].v[j] WHEN 1 THEN q[k] WHEN -1 THEN 1 - q[k] ELSE 0 END")
-    odds = " + ".join(f"votes[{j}] * ln(acc[{j}] / (1 - acc[{j}]))" for j in range(1, m + 1))
+    bound = lambda x, b: f"greatest({b[0]}::DOUBLE, least({b[1]}::DOUBLE, {x}))"
+    ratio = lambda start, sign, weight: (
+        f"({start * q.PRIOR} + {total(f'found[k].n * {weight} * CASE WHEN found[k].v[j] = {sign} THEN 1 ELSE 0 END')}) / ({q.PRIOR} + {total(f'found[k].n * {weight} * abs(found[k].v[j])')})"
+    )
+    good = f"list_transform(range(1, {m} + 1), lambda j: {bound(ratio(q.START_GOOD, 1, 'q[k]'), q.BOUNDS_GOOD)})"
+    bad = f"list_transform(range(1, {m} + 1), lambda j: {bound(ratio(q.START_BAD, -1, '(1 - q[k])'), q.BOUNDS_BAD)})"
+    share = bound(f"({q.START_SHARE * q.PRIOR} + {total('found[k].n * q[k]')}) / ({q.PRIOR} + {total('found[k].n')})", q.BOUNDS_SHARE)
+    odds = " + ".join("(" + vote_odds.format(v=f"votes[{j}]").replace("[j]", f"[{j}]") + ")" for j in range(1, m + 1))
     return rf"""
         WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
@@ -103,18 +110,16 @@ def _quality_oracle() -> str:
         f AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
                      CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(length(regexp_replace(text, '[^A-ZÀ-Þ]+', '', 'g')) AS BIGINT) AS n_capitals,
                      len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-                     len(list_filter(lines, lambda x: regexp_matches(rtrim(x, ' '), '[.!?"''…»”]$'))) AS n_ended_lines, len(list_intersect(words, [{words}])) AS n_function_words,
+                     len(list_filter(lines, lambda x: regexp_matches(rtrim(x, ' '), '[.!?"''…»”]$'))) AS n_ended_lines, len(list_filter(words, lambda x: x IN ({words}))) AS n_function_words,
                      coalesce(r.n, 0) AS n_repeat_words FROM w LEFT JOIN repeated r USING (doc_id)),
         voted AS (SELECT *, [{vote}] AS votes FROM f),
         pat AS (SELECT list({{'v': votes, 'n': n}} ORDER BY votes) AS found FROM (SELECT votes, CAST(count(*) AS DOUBLE) AS n FROM voted GROUP BY votes)),
-        em(i, acc, share) AS (
-            SELECT 0, [0.8::DOUBLE for x in range({m})], 0.8::DOUBLE
+        em(i, good, bad, share) AS (
+            SELECT 0, [{q.START_GOOD}::DOUBLE for x in range({m})], [{q.START_BAD}::DOUBLE for x in range({m})], {q.START_SHARE}::DOUBLE
             UNION ALL
-            SELECT i + 1,
-                   list_transform(range(1, {m} + 1), lambda j: greatest({q.LEAST_ACCURACY}::DOUBLE, least({q.MOST_ACCURACY}::DOUBLE, ({q.PRIOR_RIGHT} + {right}) / ({q.PRIOR_RIGHT + q.PRIOR_WRONG} + {total("found[k].n * abs(found[k].v[j])")})))),
-                   greatest(0.05, least(0.98, (4 + {total("found[k].n * q[k]")}) / (5 + {total("found[k].n")})))
-            FROM (SELECT i, acc, share, found, list_transform(found, lambda p: 1 / (1 + exp(-(ln(share / (1 - share)) + {evidence})))) AS q FROM em, pat WHERE i < {q.ITERATIONS}) s),
-        fit AS (SELECT acc, share FROM em WHERE i = {q.ITERATIONS}),
+            SELECT i + 1, {good}, {bad}, {share}
+            FROM (SELECT i, good, bad, share, found, list_transform(found, lambda p: 1 / (1 + exp(-(ln(share / (1 - share)) + {evidence})))) AS q FROM em, pat WHERE i < {q.ITERATIONS}) s),
+        fit AS (SELECT good, bad, share FROM em WHERE i = {q.ITERATIONS}),
         scored AS (SELECT voted.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, 1 / (1 + exp(-(ln(share / (1 - share)) + {odds}))) AS p FROM voted, fit)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= 0.5 AS kept FROM scored
     """

@@ -37,24 +37,32 @@ def test_base_features_match_brute_force(spark):
 
 
 def plain_em(counted, n_rules):
-    acc, share = [0.8] * n_rules, 0.8
+    good, bad, share = [quality.START_GOOD] * n_rules, [quality.START_BAD] * n_rules, quality.START_SHARE
+    bound = lambda x, b: max(b[0], min(b[1], x))
     for _ in range(quality.ITERATIONS):
-        q = {v: 1 / (1 + math.exp(-(math.log(share / (1 - share)) + sum(x * math.log(a / (1 - a)) for x, a in zip(v, acc, strict=True))))) for v in counted}
-        acc = [
-            max(quality.LEAST_ACCURACY, min(quality.MOST_ACCURACY, (quality.PRIOR_RIGHT + sum(n * (q[v] if v[j] == 1 else 1 - q[v] if v[j] == -1 else 0) for v, n in counted.items()))
-                / (quality.PRIOR_RIGHT + quality.PRIOR_WRONG + sum(n * abs(v[j]) for v, n in counted.items()))))
-            for j in range(n_rules)
-        ]
-        share = max(0.05, min(0.98, (4 + sum(n * q[v] for v, n in counted.items())) / (5 + sum(counted.values()))))
-    return acc, share
+        q = {}
+        for v in counted:
+            odds = math.log(share / (1 - share))
+            for x, g, b in zip(v, good, bad, strict=True):
+                odds += math.log(g / (1 - b)) if x == 1 else math.log((1 - g) / b) if x == -1 else 0
+            q[v] = 1 / (1 + math.exp(-odds))
+
+        def ratio(j, start, sign, weight):
+            hit, spoke = (sum(n * weight(v) for v, n in counted.items() if keep(v[j])) for keep in (lambda x: x == sign, lambda x: x != 0))
+            return (start * quality.PRIOR + hit) / (quality.PRIOR + spoke)
+
+        good = [bound(ratio(j, quality.START_GOOD, 1, lambda v: q[v]), quality.BOUNDS_GOOD) for j in range(n_rules)]
+        bad = [bound(ratio(j, quality.START_BAD, -1, lambda v: 1 - q[v]), quality.BOUNDS_BAD) for j in range(n_rules)]
+        share = bound((quality.START_SHARE * quality.PRIOR + sum(n * q[v] for v, n in counted.items())) / (quality.PRIOR + sum(counted.values())), quality.BOUNDS_SHARE)
+    return good, bad, share
 
 
 def test_estimation_matches_brute_force(spark):
     counted = {(1, 1, 1): 60, (1, 1, -1): 10, (-1, -1, -1): 12, (-1, 0, -1): 6, (0, 0, 0): 3, (1, -1, 0): 4}
     frame = spark.createDataFrame([(list(v), float(n)) for v, n in counted.items()], "votes array<int>, n double")
     row = quality.estimate(frame, 3).first()
-    acc, share = plain_em(counted, 3)
-    assert row.accuracy == pytest.approx(acc) and row.share == pytest.approx(share)
+    good, bad, share = plain_em(counted, 3)
+    assert row.good == pytest.approx(good) and row.bad == pytest.approx(bad) and row.share == pytest.approx(share)
 
 
 def test_posterior_replaces_all_must_pass(spark):
