@@ -16,7 +16,7 @@ Anchors that occur in very many different surroundings (a common passage, at its
 found beforehand in a hashed sample of documents (1 of ``SAMPLE_OF``, all rows in small tables), and each of
 their windows becomes an anchor and a run of its own, which spreads them over all tasks. Any choice of such
 anchors gives the same result; the sample only balances the work, and at most ``HOT_MOST`` of them (those seen most) are
-sent out. Repeats within one Arrow batch are settled there, so a popular run leaves a batch once.
+sent out. Repeats within a slice of an Arrow batch are settled there, so a popular run leaves a slice once.
 
 Rows are ordered by doc_id (null first); rows of one doc_id by a hash of their text, then any order if they are
 identical. Defined results: a null or empty text, or one under WINDOW bytes, loses nothing; of identical rows with
@@ -40,6 +40,8 @@ WINDOW, GRAM = 100, 40
 SAMPLE_OF, SAMPLE_ALL, HOT_SEEN, HOT_MOST = 64, 4096, 16, 100_000
 #: Texts up to this length are sorted in lockstep, so many cells at a time; longer ones alone.
 LOCKSTEP, CELLS = 1500, 1 << 19
+#: Documents whose runs are held and sorted together.
+SLICE = 2048
 _SPAN = WINDOW - GRAM + 1
 _LOW = np.uint64((1 << 20) - 1)
 _CHUNK = (1 << 20) - 4 * WINDOW
@@ -107,11 +109,11 @@ _MEMBERS = pa.schema([("anchor", pa.int64()), ("string", pa.int64()), ("doc_id",
 
 
 def members(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """Runs of all documents, one of each string for each batch; ``removed`` marks the batch's other runs of it."""
+    """Runs of all documents, one of each string for each slice; ``removed`` marks the slice's other runs of it."""
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(hot))
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             nth = batch.column(1).to_numpy(zero_copy_only=False)
             found = []
@@ -247,7 +249,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     """Runs of removed windows (doc_id, nth, start, n) of numbered documents."""
     found = members(docs, hot_anchors(docs))
     # One shuffle, by anchor: only anchors that occur again go on, and of those strings only what must be known.
-    # Rows that a batch has settled are dealt anywhere: a popular anchor does not gather them.
+    # Rows that a slice has settled are dealt anywhere: a popular anchor does not gather them.
     key = F.when(F.col("removed"), F.xxhash64("doc_id", "nth", "start")).otherwise(F.col("anchor"))
     dealt = found.withColumn("key", key).repartition("key")
     whole = Window.partitionBy("key")
