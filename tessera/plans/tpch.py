@@ -111,7 +111,7 @@ sql("q19_discounted_or", """
 
 sql("q20_part_promotion", """
     SELECT s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey
-    WHERE n_regionkey = 2 AND s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE 'bolt%')
+    WHERE n_regionkey = 2 AND s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE '%bolt%')
           GROUP BY l_suppkey, l_partkey HAVING sum(l_quantity) > 45)""")
 
 sql("q21_waiting_suppliers", """
