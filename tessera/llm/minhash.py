@@ -12,8 +12,8 @@ Equal texts (word for word) are put together first and stand for each other; one
 ``BANDS`` band keys of a signature find candidates. In a group of one band key every representative is compared
 with one hub only (the member whose band groups are largest, the likely original of a family); verified links give classes (connected components). After that,
 representatives of one band group that are still in different classes are compared too, class against class, so no
-candidate pair that could join two classes is left out; pairs inside one class are not emitted, nor pairs that
-share too few elements with any other document to reach the similarity. All
+candidate pair that could join two classes is left out; pairs inside one class are not emitted, nor pairs whose
+counts or bitmaps of elements show that they share too few to reach the similarity. All
 comparisons are exact (sorted shingle hashes), at similarity ``SIMILARITY`` or more. With 24 bands of 5, a pair at
 0.8 is missed with probability 7e-5, and less above.
 
@@ -25,11 +25,11 @@ empty table gives an empty result; other columns are ignored, and ``keep_one`` h
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, mix64, shingle_hashes, text_bytes, text_of, word_hashes
@@ -39,6 +39,8 @@ BANDS, ROWS = 24, 5
 HASHES = BANDS * ROWS
 #: Rank regions: [0, 2**LOWEST), then doubling.
 LOWEST = -3
+#: Words of 64 bits in a document's bitmap of elements.
+BITMAP = 8
 
 
 @lru_cache(maxsize=256)
@@ -180,13 +182,23 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("links did not settle")
 
 
+def _only(one: str, other: str) -> Column:
+    """How many bits of the first document's bitmap the other lacks."""
+    bits = (F.bit_count(F.col(f"{one}.bits{k}").bitwiseAND(F.bitwise_not(F.col(f"{other}.bits{k}")))) for k in range(BITMAP))
+    return reduce(lambda a, b: a + b, bits)
+
+
 def _with_partners(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Drop rows that can have no link to another class: ``common`` counts the elements that some other of these
     documents has too, and a link takes at least ``similarity`` of all. An exact bound, so nothing is lost; it spares
     the pairs of large families whose members each differ from the original a little too much."""
     own = sets.join(placed.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode("elements").alias("e"))
     alone = own.groupBy("e").agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("doc_id")).where("k = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
-    left = placed.drop("common").join(alone, "doc_id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    # A bitmap of each document's elements: a bit that only one of two documents has is an element they do not share.
+    at = F.pmod(F.shiftright("e", 6), F.lit(BITMAP))
+    bits = own.groupBy("doc_id").agg(*(F.bit_or(F.when(at == k, F.expr("shiftleft(1L, cast(e & 63 as int))")).otherwise(F.lit(0).cast("long"))).alias(f"bits{k}") for k in range(BITMAP)))
+    left = placed.select("band", "doc_id", "n", "root").join(alone, "doc_id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    left = left.join(bits, "doc_id")
     left = left.where(F.col("common") >= similarity * F.col("n") - 1e-6)
     mixed = left.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
     return left.join(mixed, "band", "left_semi")
@@ -229,7 +241,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "b
     x, y = placed.alias("x"), placed.alias("y")
     apart = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root")) & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n"))
     # No pair can share more than either has in common with anyone.
-    apart = apart & (F.least("x.common", "y.common") >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6)
+    needed = similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
+    apart = apart & (F.least("x.common", "y.common") >= needed) & (F.least(F.col("x.n") - _only("x", "y"), F.col("y.n") - _only("y", "x")) >= needed)
     rest = x.join(y, apart).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
     more = cut(verified(cut(rest, "rest"), sets, similarity), "rest-links")
     if not more.isEmpty():
