@@ -6,8 +6,10 @@ quantile, at that mean, of a uniform number hashed from seed and doc_id: indepen
 every run, and fixed by the document alone given the rate. The document is exploded by its count and the copies
 are dealt out in the order of a hash of (seed, doc_id, copy): a global shuffle by range partitioning.
 
-Sources that have no target weight share what the named weights leave of 1 in proportion to their size; with no
-weights at all every source has the share of its size to the power ``TEMPERATURE``, normalised.
+Sources that have no target weight share what the named weights leave of 1 in proportion to their size; with
+``keep_unlisted`` each has at least the share that it has of the corpus, and targets of more than 1 in all are scaled to 1. With
+``fill``, targets of less than 1 in all (named sources that are absent) are scaled to 1 too. With no weights at all every source
+has the share of its size to the power ``TEMPERATURE``, normalised.
 
 Defined results: a null source is a source of its own; a null or empty text has size 1 (characters plus one); null
 doc_ids are hashed as null, so share one count; repeated rows get equal counts; an empty table gives an empty result; the
@@ -24,6 +26,8 @@ from .common import cut, text_of
 TEMPERATURE = 0.5
 #: Sources whose rates are sent to every executor; with more of them, rates meet rows by a shuffle.
 BROADCAST_SOURCES = 20_000
+#: Targets whose sum is as close to 1 as this are taken as they are.
+SLACK = 1e-9
 
 
 def digest_bits(digits: int, seed: int, *cols: Column) -> Column:
@@ -37,11 +41,12 @@ def uniform(seed: int, *cols: Column) -> Column:
     return (digest_bits(12, seed, *cols).cast("double") + F.lit(0.5)) / F.lit(float(1 << 48))
 
 
-def rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def rates(docs: DataFrame, weights: dict[str, float] | None = None, keep_unlisted: bool = False, fill: bool = False) -> DataFrame:
     """source, size, rate and the Poisson probabilities of 0, 1, 2, ... (as far as they matter to a double)."""
     sizes = docs.groupBy("source").agg(F.sum(F.char_length(text_of()).cast("long") + 1).alias("size"))
     sizes = cut(sizes, "source-sizes")
-    total = F.lit(sizes.agg(F.sum("size")).first()[0] or 1)
+    whole = sizes.agg(F.sum("size")).first()[0] or 1
+    total = F.lit(whole)
     if weights is None:
         share = F.pow("size", F.lit(TEMPERATURE))
         norm = sizes.agg(F.sum(share)).first()[0] or 1.0
@@ -52,7 +57,12 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame
             named = F.when(F.col("source") == name, F.lit(float(w))).otherwise(named)
         present = sizes.agg(F.sum(named), F.sum(F.when(named.isNull(), F.col("size")))).first()
         left, rest = max(0.0, 1.0 - (present[0] or 0.0)), present[1] or 1
+        if keep_unlisted:
+            left = max(left, rest / whole)
         target = F.coalesce(named, F.lit(left) * F.col("size") / F.lit(rest))
+        norm = sizes.agg(F.sum(target)).first()[0] or 1.0
+        if (keep_unlisted and norm > 1 + SLACK) or (fill and norm < 1 - SLACK):
+            target = target / F.lit(norm)
     rated = sizes.withColumn("rate", target * total / F.col("size"))
     # p_k = exp(k ln m - m - ln k!), with Stirling's series for the factorial beyond 20.
     factorial = "if(k <= 20, ln(factorial(k)), k * ln(k) - k + 0.5D * ln(2D * pi() * k) + 1D / (12D * k) - 1D / (360D * k * k * k) + 1D / (1260D * pow(k, 5)))"
@@ -60,9 +70,9 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame
     return rated.withColumn("pmf", F.when(F.col("rate") > 0, pmf).otherwise(F.array(F.lit(1.0))))
 
 
-def copies(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 5) -> DataFrame:
+def copies(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 5, keep_unlisted: bool = False, fill: bool = False) -> DataFrame:
     """``docs`` with ``__rate`` and ``__copies``, the Poisson count of each row."""
-    rated = cut(rates(docs, weights), "rates")
+    rated = cut(rates(docs, weights, keep_unlisted, fill), "rates")
     own = rated.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("pmf").alias("__pmf"))
     few = rated.count() <= BROADCAST_SOURCES
     found = docs.join(F.broadcast(own) if few else own, F.col("source").eqNullSafe(F.col("__source")))
@@ -72,18 +82,18 @@ def copies(docs: DataFrame, weights: dict[str, float] | None = None, seed: int =
     return found.withColumn("__copies", F.expr(quantile)).drop("__source", "__pmf", "__u")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 5) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 5, keep_unlisted: bool = False, fill: bool = False) -> DataFrame:
     """The mixture: each row of ``docs`` once for each copy, in shuffled order, with ``copy`` (from 0) and ``mix_key``."""
     own = [c for c in docs.columns if c not in ("copy", "mix_key")]
-    counted = copies(docs, weights, seed).where("__copies > 0")
+    counted = copies(docs, weights, seed, keep_unlisted, fill).where("__copies > 0")
     exploded = counted.select(*own, F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("copy"))
     keyed = exploded.withColumn("mix_key", digest_bits(15, seed, F.col("doc_id"), F.col("copy")))
     return keyed.repartitionByRange("mix_key").sortWithinPartitions("mix_key", "doc_id", "copy")
 
 
-def mixture(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 5) -> DataFrame:
+def mixture(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 5, keep_unlisted: bool = False, fill: bool = False) -> DataFrame:
     """As ``mix``, with the columns of ``docs`` alone."""
-    counted = copies(docs, weights, seed).where("__copies > 0")
+    counted = copies(docs, weights, seed, keep_unlisted, fill).where("__copies > 0")
     exploded = counted.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("__copy"))
     keyed = exploded.withColumn("__mix_key", digest_bits(15, seed, F.col("doc_id"), F.col("__copy")))
     return keyed.repartitionByRange("__mix_key").sortWithinPartitions("__mix_key", "doc_id", "__copy").select(*docs.columns)

@@ -27,7 +27,8 @@ TARGETS = {f"src{i}": 0.05 for i in range(20)}
 
 
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(load(spark, sf_dir, "documents"), TARGETS).select("doc_id", "text", "source", "n_chars", "copy", "mix_key")
+    mixed = mixing.mix(load(spark, sf_dir, "documents"), TARGETS, keep_unlisted=True, fill=True)
+    return mixed.select("doc_id", "text", "source", "n_chars", "copy", "mix_key")
 
 
 def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessera.llm import langid, mixing, packing
+from tessera.llm import langid, mixing, packing, queries
 from tests.llm.cases import AWKWARD, SCHEMA, awkward, clashing, table
 from tests.llm.test_arrow_ops import WORDS, plain_classes
 
@@ -69,6 +69,28 @@ def test_mixing_edge_cases(spark, monkeypatch, few):
     assert abs(n["tiny"] - 5000) < 300
 
 
+def sized(spark, path, counts):
+    """Documents of equal size, so many of each source, as a stored table."""
+    rows = [(s, "x" * 99) for s, n in counts.items() for _ in range(n)]
+    docs = spark.createDataFrame([(i, t, "en", s, 99) for i, (s, t) in enumerate(rows)], SCHEMA)
+    docs.write.parquet(f"{path}/documents.parquet")
+    return docs
+
+
+@pytest.mark.parametrize("stranger", [None, "elsewhere"])
+def test_production_targets_keep_unlisted_sources(spark, tmp_path, stranger):
+    docs = sized(spark, tmp_path, {f"src{i}": 100 for i in range(20)} | {stranger: 1000})
+    for out in (queries.op5_poisson_mixing(spark, str(tmp_path)), corpus_pipeline.mix(spark, docs, str(tmp_path))):
+        n = Counter(r.source for r in out.select("source").collect())
+        assert len(n) == 21 and abs(n[stranger] - 750) < 120 and abs(sum(n.values()) - 3000) < 250  # a third of 4 thirds
+
+
+def test_production_targets_fill_up_for_missing_sources(spark, tmp_path):
+    sized(spark, tmp_path, {f"src{i}": 400 for i in range(5)})
+    n = Counter(r.source for r in queries.op5_poisson_mixing(spark, str(tmp_path)).select("source").collect())
+    assert len(n) == 5 and all(abs(k - 400) < 100 for k in n.values())
+
+
 def plain_padding(lengths, k):
     distinct = sorted(set(lengths))
     best = math.inf
