@@ -1,0 +1,58 @@
+"""Queries of ``core``, ``functions`` and ``tables`` that look at the first ids or rows only, over their whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.catalog import load
+from tessera.functions import predicates as P
+from tessera.functions import scalar as S
+from tessera.operators import joins
+from tessera.streaming import ingest
+
+from .core import _SEG, _segments
+from .registry import query, sql
+
+sql("project_arithmetic_whole", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * (1 - l_discount) + l_tax / 2 - 1, 4) AS net FROM lineitem")
+sql("wildcards_whole", "SELECT o.*, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey")
+sql("case_searched_whole", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'big' WHEN o_totalprice > 50000 THEN 'mid' END AS size FROM orders")
+sql("case_simple_whole", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS code FROM orders")
+
+
+@query("""SELECT user_id FROM events GROUP BY user_id HAVING count(*) FILTER (WHERE event_type = 'click') > 0 AND count(*) FILTER (WHERE event_type = 'purchase') > 0
+          AND count(*) FILTER (WHERE event_type = 'error') = 0""")
+def set_valued_membership_whole(spark, sf_dir):
+    sets = load(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("kinds"))
+    kinds = F.col("kinds")
+    return sets.where(P.has_value(kinds, "click") & P.has_value(kinds, "purchase") & P.negate(P.has_value(kinds, "error"))).select("user_id")
+
+
+@query(f"SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT {_SEG} AS seg FROM customer) d WHERE d.seg = nullif(c.c_mktsegment, 'FURNITURE'))")
+def anti_join_ignores_null_whole(spark, sf_dir):
+    c = load(spark, sf_dir, "customer").withColumn("own", F.nullif(F.col("c_mktsegment"), F.lit("FURNITURE")))
+    return joins.anti(c, _segments(spark, sf_dir).select("seg").distinct(), {"own": "seg"}).select("c_custkey")
+
+
+sql("scalar_subquery_select_whole", "SELECT o_orderkey, (SELECT max(c_custkey) FROM customer) AS top FROM orders")
+sql("relationship_value_sums_whole", "SELECT o_orderkey, round(sum(l_quantity), 2) AS q FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+sql("union_all_whole", "SELECT c_name AS name, 'c' AS kind FROM customer UNION ALL SELECT s_name, 's' FROM supplier UNION ALL SELECT c_name, 'c' FROM customer")
+
+sql("order_multi_key_whole", "SELECT c_custkey, c_nationkey, c_acctbal FROM customer ORDER BY c_nationkey DESC, c_acctbal, c_custkey")
+sql("order_by_hidden_expression_whole", "SELECT p_partkey FROM part ORDER BY CASE WHEN p_type = 'PROMO' THEN 0 ELSE 1 END, p_retailprice * p_size DESC, p_partkey")
+sql("order_by_ordinal_whole", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1 ORDER BY 2 DESC, 1")
+sql("order_nulls_first_whole", f"SELECT c_custkey, seg FROM (SELECT c_custkey, {_SEG} AS seg FROM customer) t ORDER BY seg NULLS FIRST, c_custkey")
+
+
+@query("""SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey, (date_diff('hour', o_orderdate, l_shipdate))::VARCHAR AS h,
+          (date_diff('hour', o_orderdate, l_shipdate))::VARCHAR || 'h0m0s' AS text FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_shipdate > o_orderdate""")
+def functions_timediff_whole(spark, sf_dir):
+    both = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).where("l_shipdate > o_orderdate")
+    hours, text = S.timediff(F.col("l_shipdate"), F.col("o_orderdate"), "hours"), S.timediff(F.col("l_shipdate"), F.col("o_orderdate"))
+    return both.select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", hours.alias("h"), text.alias("text"))
+
+
+@query("""SELECT source, event_id, n, kind FROM (SELECT 's' AS source, user_id::VARCHAR AS event_id, count(*) AS n,
+          CASE WHEN count(DISTINCT event_type) > 1 THEN 'conflict' WHEN count(*) > 1 THEN 'duplicate' ELSE 'new' END AS kind FROM events GROUP BY user_id) t""")
+def ingest_duplicates_whole(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    return ingest.classify_duplicates(e.select(F.lit("s").alias("source"), F.col("user_id").cast("string").alias("event_id"), F.col("event_type").alias("payload")))
