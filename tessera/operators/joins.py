@@ -3,7 +3,7 @@ side, sort-merge with skew handling otherwise); NULL keys never match."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,20 @@ def _on(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> Column:
     return on
 
 
+#: Leading bits of the hash by which a value's rows are counted; only those with the bits where its sample ends are ordered.
+HASH_BITS = 12
+
+
 def stratified_sample(df: DataFrame, column: str, percent: float, seed: int = 0) -> DataFrame:
-    """A proportional sample of each value of ``column``, fixed by a hash of the row; no shuffle."""
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(1_000_000)) < int(percent * 10_000)).where(F.col(column).isNotNull())
+    """``percent`` of the rows of each value of ``column`` (NULL is a value too), rounded down: those of the least salted hash.
+    Identical rows are numbered and hashed apart, so the sample is the same in every run."""
+    drawn = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n")).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    drawn = drawn.withColumn("__hash", F.xxhash64(F.lit(seed), *df.columns, "__i")).withColumn("__range", F.shiftright("__hash", 64 - HASH_BITS))
+    counts = drawn.groupBy(F.col(column).alias("__value"), F.col("__range").alias("__part")).agg(F.count(F.lit(1)).alias("__rows"))
+    whole = Window.partitionBy("__value")
+    counts = counts.withColumn("__take", F.floor(F.sum("__rows").over(whole) * F.lit(round(percent * 10_000)) / F.lit(1_000_000)))
+    counts = counts.withColumn("__before", F.sum("__rows").over(whole.orderBy("__part")) - F.col("__rows")).where("__before < __take")
+    near = drawn.join(counts, F.col(column).eqNullSafe(F.col("__value")) & (F.col("__range") == F.col("__part")))
+    inner = near.where("__before + __rows <= __take")
+    edge = near.where("__before + __rows > __take").withColumn("__rank", F.row_number().over(Window.partitionBy("__value").orderBy("__hash", *df.columns, "__i")))
+    return inner.select(*df.columns).unionByName(edge.where("__before + __rank <= __take").select(*df.columns))

@@ -81,6 +81,15 @@ def test_stratified_sample(spark):
     assert all(abs(n[k] / every[k] - 0.1) < 0.02 for k in every)
 
 
+def test_stratified_sample_takes_its_share_of_each_value(spark):
+    rows = [("copies", 1)] * 500 + [("many", i) for i in range(1000)] + [(None, i) for i in range(45)] + [("rare", i) for i in range(10)] + [("few", 1)]
+    df = spark.createDataFrame(rows, "v string, n int")
+    out = joins.stratified_sample(df, "v", 10.0)
+    assert Counter(r.v for r in out.collect()) == {"copies": 50, "many": 100, None: 4, "rare": 1}
+    assert sorted(map(str, out.collect())) == sorted(map(str, joins.stratified_sample(df.repartition(7), "v", 10.0).collect()))
+    assert joins.stratified_sample(df, "v", 100.0).count() == len(rows) and joins.stratified_sample(df, "v", 0.0).count() == 0
+
+
 def test_information_schema(spark):
     for view in "tables views schemata columns statistics table_constraints key_column_usage referential_constraints character_sets collations".split():
         assert catalog.information_schema(spark, SF, view, ("region", "nation")).columns
