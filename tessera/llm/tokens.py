@@ -10,10 +10,13 @@ The container is Parquet, written and read by Spark alone, so any store that Spa
 is done again. Columns of ``blocks``: part, block, dict_hash, first_id, last_id, start_in_part, tokens, doc_ids,
 offsets (one more than documents), counts, payload. ``dictionary`` has one row: dict_hash, dictionary, width, end_id.
 
-Encoding uses the tokenizers library. Where the tokenizer is byte-level BPE that splits text by its usual
-regular expression and has no normaliser, its result for a text is the results for the pieces in turn; the
-pieces are then encoded once and remembered (``MEMO`` pieces at most, forgotten together). Other tokenizers, and texts
-that contain an added token, are encoded whole.
+Encoding uses the tokenizers library. Where the tokenizer is byte-level BPE that splits text by its usual regular
+expression and has no normaliser, its result for a text is the results for the pieces in turn. A space after anything but
+white space always begins a piece, so a text is cut there into chunks, and the ids of each chunk are remembered
+(``MEMO`` chunks and as many pieces at most, forgotten together). A new chunk is split by the same regular expression here
+only if each of its characters is of the same class (letter, number, white space, other) to the library, which is
+asked once for each character; other chunks, other tokenizers, texts with an added token and texts with runs of white
+space are encoded by the library as they are.
 
 Defined results: a null or empty text has the end id alone; null doc_ids come first; rows repeated with the same
 doc_id stay apart, ordered by a hash of their text; an empty table gives no rows; other columns are ignored.
@@ -40,9 +43,9 @@ from .common import cut, new_path, text_of
 
 BLOCK_BYTES = 4 << 20
 MEMO = 1_000_000
-#: The sample for the dictionary: so many documents (those with the smallest hash of their id), and of each the
-#: serialised ids up to so many bytes, in pieces of PIECE bytes.
-SAMPLE_DOCS, SAMPLE_BYTES, PIECE, DICT_BYTES = 512, 32 << 10, 4 << 10, 64 << 10
+#: The sample for the dictionary: so many documents (those with the smallest hash of their id), and of each up to
+#: so many pieces of PIECE bytes of its serialised ids, evenly spread over the whole document.
+SAMPLE_DOCS, SAMPLE_PIECES, PIECE, DICT_BYTES = 512, 8, 4 << 10, 64 << 10
 LEVEL = 3
 BLOCK_SCHEMA = (
     "part int, block int, dict_hash string, first_id long, last_id long, start_in_part long, tokens long, "
@@ -56,6 +59,25 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 ASCII_PIECES = re.compile(PIECES.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(" ?0-9+", " ?[0-9]+"), re.ASCII).findall
 
 
+#: White space before a space that does not begin a word: cuts at such a space would change the pieces. A superset of
+#: what any library version takes for white space.
+_RUN = re.compile("[\\s\u180e\u200b] (?=[\\s\u180e\u200b]|\\Z)").search
+_MAY_RUN = tuple(c + " " for c in map(chr, range(128)) if c.isspace())
+
+
+class _Memo(dict):
+    """Remembers what ``make`` gives; forgets everything when full."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= MEMO:
+            self.clear()
+        self[key] = value = self.make(key)
+        return value
+
+
 class Encoder:
     """Whole texts to serialised ids; one to a process."""
 
@@ -75,7 +97,13 @@ class Encoder:
         simple = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.split = regex.compile(PIECES).findall if simple and not spec.get("normalizer") and not spec.get("truncation") else None
-        self.memo: dict[str, bytes] = {}
+        if self.split:
+            # For text that is one piece already: the same model without the splitting.
+            self.single = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": split | {"use_regex": False}}))
+        self.kind = regex.compile(r"(\p{L})|(\p{N})|(\s)|(.)", regex.DOTALL).match
+        self.agreed: dict[str, bool] = {}
+        self.pieces = _Memo(lambda piece: array(self.code, self.single.encode(piece, add_special_tokens=False).ids).tobytes())
+        self.chunks = _Memo(self._chunk)
 
     @classmethod
     def of(cls, path: str, end_id: int) -> Encoder:
@@ -83,19 +111,33 @@ class Encoder:
             cls._own[path, end_id] = cls(path, end_id)
         return cls._own[path, end_id]
 
+    def _agrees(self, c: str) -> bool:
+        """Whether the library puts the character into the same class as the regular expression here."""
+        if c not in self.agreed:
+            # One piece after a letter, a number or a mark: of that class; after none of them: white space.
+            told = [len(self.tokenizer.pre_tokenizer.pre_tokenize_str(before + c)) == 1 for before in "a1!"]
+            self.agreed[c] = [*told, not any(told)][[0, 1, 3, 2][self.kind(c).lastindex - 1]]
+        return self.agreed[c]
+
+    def _raw(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        """The ids of a chunk with the space before it."""
+        if chunk.isascii():
+            return b"".join(map(self.pieces.__getitem__, ASCII_PIECES(" " + chunk)))
+        if all(map(self._agrees, set(chunk))):
+            return b"".join(map(self.pieces.__getitem__, self.split(" " + chunk)))
+        return self._raw(" " + chunk)
+
     def serialised(self, text: str | None) -> bytes:
         text = text or ""
         if self.split is None or any(x in text for x in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes() + self.end
-        pieces, memo = ASCII_PIECES(text) if text.isascii() else self.split(text), self.memo
-        if new := set(pieces).difference(memo):
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = set(pieces)
-            new = list(new)
-            for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                memo[x] = array(self.code, e.ids).tobytes()
-        return b"".join(map(memo.__getitem__, pieces)) + self.end
+            return self._raw(text) + self.end
+        if (not text.isascii() or any(x in text for x in _MAY_RUN)) and _RUN(text):
+            return self._raw(text) + self.end
+        first, *rest = text.split(" ")
+        return b"".join([self._raw(first) if first else b"", *map(self.chunks.__getitem__, rest), self.end])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str | None]]:
@@ -106,18 +148,23 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
-    """The shared dictionary; empty if the sample is too small to train one."""
+    """The shared dictionary; empty if the sample is too small to train one. Of rows repeated with a sampled id those
+    with the smallest hashes of their text count."""
     import zstandard
 
-    chosen = [r[0] for r in docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
+    chosen = [r[0] for r in docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
 
     def serialise(batches):
         encoder = Encoder.of(path, end_id)
         for _, text in _texts(batches):
-            yield pa.RecordBatch.from_pydict({"ids": [encoder.serialised(text)[:SAMPLE_BYTES]]})
+            raw = encoder.serialised(text)
+            last = max(0, len(raw) - PIECE)
+            places = sorted({last * i // max(1, SAMPLE_PIECES - 1) for i in range(SAMPLE_PIECES)}) if last else [0]
+            yield pa.RecordBatch.from_pydict({"ids": [raw[at : at + PIECE] for at in places]})
 
-    rows = docs.where(F.col("doc_id").isin(chosen)).select("doc_id", text_of().alias("text")).mapInArrow(serialise, "ids binary").limit(4 * SAMPLE_DOCS).collect()
-    samples = sorted(bytes(r[0][at : at + PIECE]) for r in rows for at in range(0, len(r[0]), PIECE))
+    mine = docs.where(F.col("doc_id").isin(chosen)).select("doc_id", text_of().alias("text"))
+    mine = mine.orderBy("doc_id", F.xxhash64("text")).limit(2 * SAMPLE_DOCS)
+    samples = sorted(bytes(r[0]) for r in mine.mapInArrow(serialise, "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
