@@ -18,9 +18,12 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors; a local one only where the session has none (tests)."""
+    """The folder shared by driver and executors; a temporary one only in a local session that names none (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tessera-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -30,11 +33,72 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later uses do not compute it again."""
+def cut(df: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: later uses do not compute it again. ``spent`` results of
+    earlier cuts, which nothing needs any more once this one is written, are deleted."""
     path = new_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for old in spent:
+        remove(df.sparkSession, old._cut_path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, with underscores added until the input has none of them (names differ by more than case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Bits of a sieve: at most SIEVE / 64 words at any scale, which is what makes them fit for a broadcast (8 MB of bits).
+SIEVE = 1 << 25
+
+
+def sieve(keys: DataFrame) -> DataFrame:
+    """A bitmap of the places (modulo SIEVE) of the ``key`` longs, as rows (word, bits): a Bloom filter of one hash."""
+    place = F.pmod(F.col("key"), F.lit(SIEVE))
+    return keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits"))
+
+
+def sift(df: DataFrame, key: str, bitmap: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key may be among the sieve's, and rows whose key is not; a broadcast join, no shuffle of ``df``."""
+    word, bits = free_names(df, "sieve_word", "sieve_bits")
+    place = F.pmod(F.col(key), F.lit(SIEVE))
+    found = df.withColumn(word, F.shiftright(place, 6)).join(F.broadcast(bitmap.select(F.col("word").alias(word), F.col("bits").alias(bits))), word, "left")
+    hit = F.call_function("getbit", F.coalesce(F.col(bits), F.lit(0).cast("long")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return found.where(hit).select(*df.columns), found.where(~hit).select(*df.columns)
+
+
+def settled(docs: DataFrame, key: Column, marks: dict[str, Column], doubtful: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``doubtful`` lists (key, marks, stays) as not staying, and with one each of those that it
+    lists as staying. Rows whose key is not in the sieve of the list's keys stay without having been shuffled; ``marks`` say
+    exactly which row it is and are computed for the others alone."""
+    own = free_names(docs, "row_key")[0]
+    hits, clear = sift(docs.withColumn(own, key), own, sieve(doubtful))
+    mine = dict(zip(marks, free_names(hits, *(f"row_{m}" for m in marks)), strict=True))
+    hits = hits.withColumns({mine[m]: c for m, c in marks.items()})
+    of = dict(zip(["key", *marks], free_names(hits, "of_key", *(f"of_{m}" for m in marks)), strict=True))
+    named = lambda rows: rows.select(*(F.col(c).alias(n) for c, n in of.items()))
+    same = F.col(own) == F.col(of["key"])
+    for m in marks:
+        same = same & F.col(mine[m]).eqNullSafe(F.col(of[m]))
+    out = clear.select(*docs.columns).unionByName(hits.join(named(doubtful), same, "left_anti").select(*docs.columns))
+    again = doubtful.where("stays")
+    if not again.isEmpty():
+        one = hits.join(named(again), same, "left_semi").dropDuplicates([own, *mine.values()])
+        out = out.unionByName(one.select(*docs.columns))
+    return out
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -1,20 +1,21 @@
 """Exact deduplication by stateful streaming.
 
-Each arriving row is reduced to a digest of its normalised text, a stable identifier and a content
-locator; a streaming query keeps one state row per digest in RocksDB (on disk, without watermark, so
-nothing expires): the best row so far (identifier and locator) and the number of arrivals. Its
-checkpoint and sink are in the shared folder, each micro-batch writes a folder of its own by number, and so a
-restarted query carries on where it stopped.
+Each arriving row is reduced to a digest of its normalised text, a stable identifier, a content
+locator and an arrival number; a streaming query keeps one state row per digest in RocksDB (on disk, without watermark, so
+nothing expires): the best row so far (identifier and locator) and the number of arrivals. Its log of arrivals,
+checkpoint and sink are in one folder, ``home``, on the shared store; a micro-batch takes ``BATCH_BYTES`` of new log files and writes a
+folder of its own by number, so ``absorb`` carries on with the same home: after a restart, or when more documents come.
 
 A hit on a digest is not trusted: the full normalised bytes of every row whose digest occurred more than
 once are compared with those at the keeper's locator, and rows that differ leave the group for groups of
 their own by full text.
 
 Texts are equal when identical after deleting white space. Of equal texts the row with the most code
-points in the original text stays, then the smallest doc_id, then (rows repeated with the same id) one of them.
+points in the original text stays, then the smallest doc_id, then (rows repeated with the same id) one of them: exactly
+one row of a group is kept.
 
 Hot digests are salted: their rows are dealt over ``ceil(rows / SALT_ROWS)`` parts and the one state row is
-repeated for each part.
+repeated for each part. Texts move only where a sieve (see ``common``) says that their digest may have occurred again.
 
 Defined results: null text counts as empty, and empty texts are copies of each other; null doc_ids sort
 after all others; an empty table gives an empty result; other columns, whatever their names, are carried by
@@ -28,9 +29,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, cut, new_path, text_of
+from .common import SPACE_CLASS, cut, new_path, settled, sieve, sift, text_of
 
 SALT_ROWS = 2000
+#: Log files of so many bytes, one file at least, make a micro-batch.
+BATCH_BYTES = 256 << 20
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 #: Without it every state partition sets aside several MB of disk, whatever it holds.
@@ -45,146 +48,137 @@ def sha256(norm: Column) -> Column:
     return F.sha2(norm, 256)
 
 
+def _row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), text_of())
+
+
 def arrivals(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """What the stream reads of each row: digest, identifier, length, and the locator of its content
-    (identifier, length in bytes and CRC of the original text)."""
+    """What the stream reads of each row: digest, identifier, length, the locator of its content
+    (identifier, length in bytes and CRC of the original text, and a hash of identifier and text) and an arrival number."""
     norm = normalised(text_of())
     return docs.select(
-        "doc_id",
+        F.col("doc_id").cast("long").alias("doc_id"),
         digest(norm).alias("digest"),
         sha256(norm).alias("text_sha256"),
         F.char_length(text_of()).cast("long").alias("code_points"),
         F.crc32(text_of()).cast("long").alias("crc"),
+        _row_key().alias("key"),
+        F.monotonically_increasing_id().alias("seq"),
     )
 
 
 def _better() -> Column:
-    """Smallest is best: most code points, then the smallest doc_id (null last)."""
+    """Smallest is best: most code points, then the smallest doc_id (null last); of the same id and text any one."""
     return F.struct(
         (-F.col("code_points")).alias("neg_points"),
         F.col("doc_id").isNull().alias("no_id"),
         F.col("doc_id").alias("doc_id"),
         F.col("crc").alias("crc"),
+        F.col("seq").alias("seq"),
     )
 
 
-def keyed_state(log_path: str, schema, spark) -> DataFrame:
-    """Run the streaming query over everything in ``log_path``; the latest state row of each digest."""
-    out, marks = new_path(spark, "state-out"), new_path(spark, "state-checkpoint")
+_KEPT = "digest string, best struct<neg_points:bigint,no_id:boolean,doc_id:bigint,crc:bigint,seq:bigint>, arrived bigint, batch int"
+
+
+def keyed_state(log_path: str, schema, spark, home: str | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Run the streaming query over what is new in ``log_path`` since the last run with this home; the latest state row of each digest."""
+    home = home or new_path(spark, "state")
+    out = f"{home}/batches"
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/{number}")
 
     had = {k: spark.conf.get(k, None) for k in (_PROVIDER, _ALLOCATE)}
     spark.conf.set(_PROVIDER, ROCKSDB)
     spark.conf.set(_ALLOCATE, "false")
     try:
         query = (
-            spark.readStream.schema(schema).parquet(log_path)
+            spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).option("recursiveFileLookup", "true").parquet(log_path)
             .groupBy("digest").agg(F.min(_better()).alias("best"), F.count(F.lit(1)).alias("arrived"))
             .writeStream.outputMode("update").foreachBatch(put)
-            .option("checkpointLocation", marks).trigger(availableNow=True).start()
+            .option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
         )
         query.awaitTermination()
     finally:
         for k, v in had.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    kept = "digest string, best struct<neg_points:bigint,no_id:boolean,doc_id:bigint,crc:bigint>, arrived bigint, batch int"
     try:
-        seen = spark.read.schema(kept).option("recursiveFileLookup", "true").parquet(out)
+        seen = spark.read.schema(_KEPT).option("recursiveFileLookup", "true").parquet(out)
     except Exception as error:  # an empty stream has no batch and so no folder
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return spark.createDataFrame([], kept).drop("batch")
+        return spark.createDataFrame([], _KEPT).drop("batch")
     return seen.groupBy("digest").agg(F.max_by("best", "batch").alias("best"), F.max("arrived").alias("arrived"))
 
 
+def absorb(docs: DataFrame, home: str, digest: Callable[[Column], Column] = sha256, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Add ``docs`` to the log of ``home`` and bring its state up to date: digest, best row and arrivals over all that was
+    ever absorbed there. Safe to run again after a failure: what is in the log is read once. Rows are told apart by
+    arrival numbers that are unique within one call."""
+    rows = arrivals(docs, digest)
+    rows.write.mode("append").parquet(f"{home}/log")
+    return keyed_state(f"{home}/log", rows.schema, docs.sparkSession, home, batch_bytes)
+
+
 def _parts() -> Column:
     return F.ceil(F.col("arrived") / F.lit(SALT_ROWS)).cast("int")
 
 
-def groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, code_points, crc. Every row of
-    the keeper's id and text is marked as kept."""
+def groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, code_points, crc, key."""
     spark = docs.sparkSession
-    rows = arrivals(docs, digest)
-    log_path = new_path(spark, "arrivals")
-    rows.write.parquet(log_path)
-    log = spark.read.schema(rows.schema).parquet(log_path)
-    state = cut(keyed_state(log_path, rows.schema, spark), "state")
+    home = new_path(spark, "exact")
+    state = cut(absorb(docs, home, digest, batch_bytes), "state")
+    log = spark.read.parquet(f"{home}/log")
 
-    odd = _false_hits(docs, state, digest)
     # Rows meet their state row, in as many parts as the digest's size asks for.
-    most = state.agg(F.max(_parts())).first()[0] or 1
-    hot = state.where(_parts() > 1).select("digest", _parts().alias("parts"))
-    plain = log.withColumn("salt", F.lit(0))
-    if most > 1:  # there are at most rows / SALT_ROWS hot digests; the join is by digest with the row's part
-        plain = _deal(log, hot)
-    joined = plain.join(
-        state.select("digest", "best", "arrived", F.explode(F.sequence(F.lit(0), _parts() - 1)).alias("salt")), ["digest", "salt"]
-    )
+    hot = cut(state.where(_parts() > 1).select("digest", _parts().alias("parts")), "hot")
+    joined = _deal(log, hot).join(state.select("digest", "best", "arrived", F.explode(F.sequence(F.lit(0), _parts() - 1)).alias("salt")), ["digest", "salt"])
+    joined = cut(joined, "met")
+    odd = _false_hits(docs, joined, state, hot, digest)
     if odd is None:
         return _verdicts(joined)
-    apart = odd.select(F.col("doc_id").alias("odd_id"), F.col("crc").alias("odd_crc"), F.col("digest").alias("odd_digest")).distinct()
-    match = F.col("doc_id").eqNullSafe(F.col("odd_id")) & (F.col("crc") == F.col("odd_crc")) & (F.col("digest") == F.col("odd_digest"))
-    lost = odd.groupBy("digest").agg(F.count(F.lit(1)).alias("lost"))
-    true = joined.join(apart, match, "left_anti").join(lost, "digest", "left").withColumn("arrived", F.col("arrived") - F.coalesce("lost", F.lit(0)))
-    own = odd.groupBy("norm").agg(F.min(_better()).alias("best"), F.count(F.lit(1)).alias("arrived"))
-    return _verdicts(true).unionByName(_verdicts(odd.join(own, "norm")))
+    true = joined.join(odd.select("seq"), "seq", "left_anti")
+    lost = cut(odd.groupBy("digest").agg(F.count(F.lit(1)).alias("lost")), "lost")
+    true = true.join(lost, "digest", "left").withColumn("arrived", F.col("arrived") - F.coalesce("lost", F.lit(0)))
+    own = cut(odd.groupBy("norm").agg(F.min(_better()).alias("best"), F.count(F.lit(1)).alias("arrived")), "own")
+    return _verdicts(true).unionByName(_verdicts(odd.drop("best", "arrived").join(own, "norm")))
 
 
-def _deal(log: DataFrame, hot: DataFrame) -> DataFrame:
+def _deal(rows: DataFrame, hot: DataFrame) -> DataFrame:
     """Add the part of each row. A left join with the hot digests: they are few (at most rows / SALT_ROWS),
     and broadcast only if their counted number is small; else Spark splits the skewed partitions."""
     few = hot.count() <= 100_000
-    with_parts = log.join(F.broadcast(hot) if few else hot, "digest", "left")
-    salt = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "crc", "code_points"), F.col("parts"))).cast("int")
+    with_parts = rows.join(F.broadcast(hot) if few else hot, "digest", "left")
+    salt = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "crc", "seq"), F.col("parts"))).cast("int")
     return with_parts.withColumn("salt", salt).drop("parts")
 
 
 def _verdicts(rows: DataFrame) -> DataFrame:
     return rows.select(
-        "doc_id",
-        F.col("best.doc_id").alias("keep_id"),
-        F.col("arrived").alias("group_size"),
-        (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (-F.col("code_points") == F.col("best.neg_points")) & (F.col("crc") == F.col("best.crc"))).alias("kept"),
-        "text_sha256",
-        "code_points",
-        "crc",
-    )
+        "doc_id", F.col("best.doc_id").alias("keep_id"), F.col("arrived").alias("group_size"), (F.col("seq") == F.col("best.seq")).alias("kept"),
+        "text_sha256", "code_points", "crc", "key",
+    )
 
 
-def _false_hits(docs: DataFrame, state: DataFrame, digest: Callable[[Column], Column]) -> DataFrame | None:
+def _false_hits(docs: DataFrame, joined: DataFrame, state: DataFrame, hot: DataFrame, digest: Callable[[Column], Column]) -> DataFrame | None:
     """Rows whose digest hit a keeper with other bytes, with their normalised text; None if there are none."""
-    hit = state.where(F.col("arrived") > 1)
-    norm = normalised(text_of())
-    full = docs.select("doc_id", norm.alias("norm"), F.crc32(text_of()).cast("long").alias("crc"), F.char_length(text_of()).cast("long").alias("code_points"))
-    full = full.withColumns({"digest": digest(F.col("norm")), "text_sha256": sha256(F.col("norm"))})
-    full = full.withColumn("deal", F.pmod(F.xxhash64("doc_id", "crc", "code_points"), F.lit(1 << 30)))
-    spread = hit.select("digest", "best", _parts().alias("parts"))
-    members = cut(full.join(spread, "digest"), "hits").withColumn("salt", F.pmod("deal", "parts").cast("int"))
-    at_locator = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("crc") == F.col("best.crc")) & (-F.col("code_points") == F.col("best.neg_points"))
-    keepers = (
-        members.where(at_locator).dropDuplicates(["digest", "norm"])
-        .select("digest", F.col("norm").alias("kept_norm"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-    )
-    odd = members.join(keepers, ["digest", "salt"]).where(F.col("norm") != F.col("kept_norm"))
-    odd = cut(odd.select("doc_id", "digest", "norm", "crc", "code_points", "text_sha256"), "false-hits")
+    again = joined.where("arrived > 1")
+    texts, _ = sift(docs.select(_row_key().alias("key"), text_of().alias("text")), "key", sieve(again))
+    # One text for each key and digest: rows repeated with the same id and text have the same bytes.
+    texts = texts.select("key", normalised(F.col("text")).alias("norm")).withColumn("text_sha256", sha256(F.col("norm")))
+    texts = texts.groupBy("key", "text_sha256").agg(F.first("norm").alias("norm"))
+    members = cut(again.join(texts, ["key", "text_sha256"]), "hits")
+    keepers = members.where(F.col("seq") == F.col("best.seq")).select("digest", F.col("norm").alias("kept_norm"), F.explode(F.sequence(F.lit(0), _parts() - 1)).alias("salt"))
+    odd = members.join(keepers, ["digest", "salt"]).where(F.col("norm") != F.col("kept_norm")).drop("kept_norm", "salt")
+    odd = cut(odd, "false-hits", members)
     return None if odd.isEmpty() else odd
 
 
-def _row_key() -> Column:
-    """Identifier, content and length of a row as one string; equal for rows repeated with the same id and text only."""
-    parts = ("text_sha256", F.col("code_points").cast("string"), F.col("crc").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    return F.concat_ws("|", *parts)
-
-
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with the columns of ``docs``. Rows repeated with the same doc_id and text leave one."""
-    stay = groups(docs).where("kept").select(_row_key().alias("__key")).distinct()
-    parts = docs.select("*", *(c.alias(f"__{n}") for n, c in (
-        ("text_sha256", sha256(normalised(text_of()))), ("code_points", F.char_length(text_of())), ("crc", F.crc32(text_of())),
-    )))
-    key = F.concat_ws("|", "__text_sha256", F.col("__code_points").cast("string"), F.col("__crc").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    kept = parts.withColumn("__key", key).drop("__text_sha256", "__code_points", "__crc").join(stay, "__key", "left_semi")
-    return kept.dropDuplicates(["__key"]).select(*docs.columns)
+    """The rows that stay, one of each group, with the columns of ``docs``."""
+    seen = groups(docs).groupBy("key", "doc_id", "text_sha256", "code_points", "crc").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("stays"))
+    doubtful = cut(seen.where("n > 1 or not stays").drop("n"), "doubtful")
+    marks = {"doc_id": F.col("doc_id").cast("long"), "text_sha256": sha256(normalised(text_of())), "code_points": F.char_length(text_of()).cast("long"), "crc": F.crc32(text_of()).cast("long")}
+    return settled(docs, _row_key(), marks, doubtful)
