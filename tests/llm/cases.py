@@ -30,5 +30,5 @@ def clashing(df):
     """The same rows with extra columns whose names operators may use themselves."""
     from pyspark.sql import functions as F
 
-    names = "size slot shard digest norm best arrived words lines votes kept quality salt count n h bucket rank base class_id rate copies key part band".split()
+    names = "size slot shard digest norm best arrived words lines votes kept quality salt count n h bucket rank base class_id rate copies key part band copy mix_key node word bits seq row_key of_key row_doc_id of_doc_id of_source of_copies __leader __text_sha256 __rate __source __key __copies".split()
     return df.select("*", *(F.lit("clash").alias(n) for n in names))
