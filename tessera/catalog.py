@@ -91,31 +91,37 @@ _NAMES = {"bigint": "int", "int": "int", "smallint": "int", "double": "float", "
 
 
 def information_schema(spark: SparkSession, sf_dir: str, view: str, tables=TABLES) -> DataFrame:
-    """The virtual tables of the catalog as DataFrames (metadata only: no table is read)."""
+    """A virtual table of the catalog for the given tables (metadata only: no table is read)."""
     schemas = {t: load(spark, sf_dir, t).schema for t in tables}
-    key_of = {t: k for t, k in PRIMARY_KEYS.items() if t in schemas}
-    links = [r for r in RELATIONSHIPS if r.child in schemas]
+    return virtual_table(spark, view, schemas, {t: k for t, k in PRIMARY_KEYS.items() if t in schemas})
+
+
+def virtual_table(spark: SparkSession, view: str, schemas: dict, keys: dict[str, str], views: list[tuple[str, str]] = (), database: str = "tessera") -> DataFrame:
+    """One of the ten virtual tables, from the tables' schemas and keys and the views' names and texts."""
+    links = [r for r in RELATIONSHIPS if r.child in schemas and r.parent in schemas]
     rows: dict[str, tuple[str, list[tuple]]] = {
-        "tables": ("table_schema string, table_name string, table_type string", [("tessera", t, "BASE TABLE") for t in schemas]),
-        "views": ("table_schema string, table_name string, view_definition string", []),
-        "schemata": ("schema_name string", [("information_schema",), ("tessera",)]),
+        "tables": ("table_schema string, table_name string, table_type string", [(database, t, "BASE TABLE") for t in schemas] + [(database, v, "VIEW") for v, _ in views]),
+        "views": ("table_schema string, table_name string, view_definition string", [(database, v, text) for v, text in views]),
+        "schemata": ("schema_name string", [("information_schema",), (database,)]),
         "columns": (
-            "table_name string, column_name string, ordinal_position int, is_nullable string, data_type string",
-            [(t, f.name, i + 1, "NO" if key_of.get(t) == f.name else "YES", _NAMES.get(f.dataType.simpleString(), "unknown")) for t, s in schemas.items() for i, f in enumerate(s.fields)],
+            "table_schema string, table_name string, column_name string, ordinal_position int, is_nullable string, data_type string",
+            [(database, t, f.name, i + 1, "NO" if keys.get(t) == f.name else "YES", _NAMES.get(f.dataType.simpleString(), "unknown")) for t, s in schemas.items() for i, f in enumerate(s.fields)],
         ),
-        "statistics": ("table_name string, index_name string, column_name string", [(t, "PRIMARY", k) for t, k in key_of.items()]),
+        "statistics": ("table_name string, index_name string, column_name string", [(t, "PRIMARY", k) for t, k in keys.items()]),
         "table_constraints": (
             "table_name string, constraint_name string, constraint_type string",
-            [(t, "PRIMARY", "PRIMARY KEY") for t in key_of] + [(r.child, f"fk_{r.foreign_key}", "FOREIGN KEY") for r in links],
+            [(t, "PRIMARY", "PRIMARY KEY") for t in keys] + [(r.child, f"fk_{r.foreign_key}", "FOREIGN KEY") for r in links],
         ),
         "key_column_usage": (
             "table_name string, column_name string, constraint_name string, referenced_table_name string, referenced_column_name string",
-            [(t, k, "PRIMARY", None, None) for t, k in key_of.items()] + [(r.child, r.foreign_key, f"fk_{r.foreign_key}", r.parent, r.primary_key) for r in links],
+            [(t, k, "PRIMARY", None, None) for t, k in keys.items()] + [(r.child, r.foreign_key, f"fk_{r.foreign_key}", r.parent, r.primary_key) for r in links],
         ),
         "referential_constraints": ("table_name string, constraint_name string, referenced_table_name string", [(r.child, f"fk_{r.foreign_key}", r.parent) for r in links]),
         "character_sets": ("character_set_name string, maxlen int", [("utf8mb4", 4)]),
         "collations": ("collation_name string, character_set_name string", [("utf8mb4_bin", "utf8mb4")]),
     }
+    if view not in rows:
+        raise ValueError(f"unknown virtual table {view}")
     schema, found = rows[view]
     return spark.createDataFrame(found, schema)
 

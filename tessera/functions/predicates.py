@@ -87,9 +87,18 @@ def like(a, pattern: str) -> Column:
                 return text(a).startswith(body) & ~_crossing(a, body, "tail")
             if pattern == "%" + body:
                 return text(a).endswith(body) & ~_crossing(a, body, "head")
+            if pattern == "%" + body + "%" and "\n" not in body:
+                return text(a).contains(body) & ~text(a).contains("\n")
     return text(a).rlike("^" + "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in pattern) + r"\z")
 
 
+def like_dynamic(a, pattern: Column) -> Column:
+    """LIKE with a pattern that is itself an expression."""
+    quoted = F.regexp_replace(text(pattern), r"([\\\\.\[\]{}()*+?^$|\-])", r"\\\\$1")
+    body = F.replace(F.replace(quoted, F.lit("%"), F.lit(".*")), F.lit("_"), F.lit("."))
+    return F.rlike(text(a), F.concat(F.lit("^"), body, F.lit(r"\z")))
+
+
 def _crossing(a, body: str, part: str) -> Column:
     rest = F.substr(text(a), F.lit(len(body) + 1)) if part == "tail" else F.left(text(a), F.char_length(text(a)) - len(body))
     return rest.contains("\n")

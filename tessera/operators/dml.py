@@ -6,12 +6,17 @@ complete (Spark's ``_SUCCESS``), so a lost task or a failed writer leaves the ta
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: The column of ``StoredTable.numbered``.
+ROW_NUMBER = "tessera_row"
+
+
 class MissingPredicate(ValueError):
     """UPDATE or DELETE without WHERE (and without LIMIT) is refused."""
 
@@ -27,7 +32,7 @@ class StoredTable:
         if not fs.exists(at):
             return []
         names = [s.getPath() for s in fs.listStatus(at)]
-        return sorted(int(p.getName()[1:]) for p in names if p.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        return sorted(int(p.getName()[1:]) for p in names if p.getName().startswith("v") and p.getName()[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
     def version(self) -> int:
         return max(self._versions(), default=-1)
@@ -41,9 +46,24 @@ class StoredTable:
         df.write.mode("overwrite").parquet(f"{self.path}/v{at}")
         return at
 
-    def insert(self, rows: DataFrame) -> int:
-        """Rows with a known primary key replace the old ones, as REPLACE and ON DUPLICATE KEY UPDATE do."""
-        return self.write(upsert(self.read(), rows, self.primary_key) if self.primary_key else self.read().unionByName(rows, allowMissingColumns=True))
+    def insert(self, rows: DataFrame, order: Column | None = None) -> int:
+        """Rows with a known primary key replace the old ones, as REPLACE and ON DUPLICATE KEY UPDATE do; of new rows with one
+        key the last (by ``order``, else as they come) stays."""
+        old = self.read()
+        if self.primary_key:
+            return self.write(upsert(old, rows, self.primary_key, order))
+        return self.write(old.unionByName(rows.select(*(c for c in old.columns if c in rows.columns)), allowMissingColumns=True))
+
+    def numbered(self) -> DataFrame:
+        """The rows with a unique number, written so that every use sees the same numbers."""
+        at = f"{self.path}/numbered-{uuid.uuid4().hex}"
+        rows = self.read().withColumn(ROW_NUMBER, F.monotonically_increasing_id())
+        rows.write.parquet(at)
+        return self.spark.read.schema(rows.schema).parquet(at)
+
+    def remove(self) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
     def update(self, predicate: Column | None, assignments: dict[str, Column]) -> int:
         return self.write(update(self.read(), predicate, assignments))
@@ -60,14 +80,15 @@ class StoredTable:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: tuple[str, ...], order: Column | None = None) -> DataFrame:
-    """Old rows whose key is not in ``new``, and of ``new`` the last row (by ``order``, else the greatest) of each key."""
+    """Old rows whose key is not in ``new``, and of ``new`` the last row (by ``order``, else by place) of each key."""
     columns = old.columns
-    aligned = new.select(*(F.col(c) if c in new.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in columns), *([order.alias("__order")] if order is not None else []))
     rest = [c for c in columns if c not in key]
-    by = ([F.col("__order")] if order is not None else []) + [F.col(c) for c in rest]
-    latest = aligned.groupBy(*key).agg(F.max(F.struct(*by)).alias("__row")) if by else aligned.distinct()
-    latest = latest.select(*key, *(F.col(f"__row.{c}").alias(c) for c in rest)) if by else latest
-    return old.join(new.select(*key).distinct(), list(key), "left_anti").unionByName(latest.select(*columns))
+    place = order if order is not None else F.monotonically_increasing_id()
+    value = lambda c: F.col(f"`{c}`") if c in new.columns else F.lit(None).cast(old.schema[c].dataType)
+    aligned = new.select(*(F.col(f"`{k}`") for k in key), F.struct(place.alias("place"), *(value(c).alias(c) for c in rest)).alias("upsert_row"))
+    latest = aligned.groupBy(*key).agg(F.max_by("upsert_row", "upsert_row.place").alias("upsert_row"))
+    latest = latest.select(*(F.col(f"`{c}`") if c in key else F.col(f"upsert_row.`{c}`").alias(c) for c in columns))
+    return old.join(new.select(*key).distinct(), list(key), "left_anti").select(*(f"`{c}`" for c in columns)).unionByName(latest)
 
 
 def update(df: DataFrame, predicate: Column | None, assignments: dict[str, Column]) -> DataFrame:
@@ -92,9 +113,14 @@ def delete(df: DataFrame, predicate: Column | None, limit: int | None = None, or
     hit = F.coalesce(predicate, F.lit(False)) if predicate is not None else F.lit(True)
     if limit is None:
         return df.where(~hit)
-    keyed = df.withColumn("__row", F.monotonically_increasing_id())
-    first = keyed.where(hit).orderBy(*(order or [F.col(c) for c in df.columns]), "__row").limit(limit).select("__row")
-    return keyed.join(first, "__row", "left_anti").drop("__row")
+    # The rows to go by their values, and how many of each; equal rows are numbered, so that only so many go.
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    doomed = df.where(hit).orderBy(*(order or columns), *columns).limit(limit).groupBy(*columns).agg(F.count(F.lit(1)).alias("doomed_n"))
+    doomed = doomed.toDF(*(f"doomed_{i}" for i in range(len(columns))), "doomed_n")
+    same = reduce(lambda a, b: a & b, (c.eqNullSafe(F.col(f"doomed_{i}")) for i, c in enumerate(columns)))
+    nth = F.row_number().over(Window.partitionBy(*columns).orderBy(F.lit(1)))
+    some = df.join(doomed, same).withColumn("doomed_nth", nth).where("doomed_nth > doomed_n").select(*columns)
+    return df.join(doomed, same, "left_anti").unionByName(some)
 
 
 def union_all(*branches: DataFrame) -> DataFrame:

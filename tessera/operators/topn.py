@@ -3,8 +3,9 @@
 ``topn_<field>``, ``topn_count``, ``topn_percent``: the n most frequent values (count descending, then text), a row `OTHER:`
 for the rest if n cuts any off, and always a last row `TOTAL:`. NULLs are not counted anywhere; n = 0 keeps all values.
 
-The values are counted first (partial counts before the shuffle); the first n come from a distributed top-k of the
-counts, and OTHER is the total less their sum, so no task ever ranks all distinct values.
+The values are counted once (partial counts before the shuffle); the total is the number of non-null fields, read without a
+shuffle. With n the first n counts come from a distributed top-k and meet the total in one row of n entries; without it the
+total is broadcast (one row). No task ever ranks all distinct values.
 """
 
 from __future__ import annotations
@@ -15,19 +16,16 @@ from pyspark.sql import functions as F
 
 def topn(df: DataFrame, column: str, n: int = 0) -> DataFrame:
     value, count, percent = f"topn_{column}", "topn_count", "topn_percent"
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    kept = counts.orderBy(F.desc("c"), "v").limit(n) if n > 0 else counts
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("values"))
-    inner = kept.select(F.lit(0).alias("part"), "v", "c")
-    rest = kept.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"))
-    # One-row tables: the total and what the kept values make of it.
-    ends = total.join(F.broadcast(rest), F.lit(True)).select(
-        F.explode(F.filter(F.array(
-            F.when(F.lit(n > 0) & (F.col("values") > n), F.struct(F.lit(1).alias("part"), F.lit("OTHER:").alias("v"), (F.col("total") - F.col("c")).alias("c"))),
-            F.struct(F.lit(2).alias("part"), F.lit("TOTAL:").alias("v"), F.col("total").alias("c")),
-        ), lambda x: x.isNotNull())).alias("e")
-    ).select("e.part", "e.v", "e.c")
-    every = inner.unionByName(ends).join(F.broadcast(total.select("total")), F.lit(True))
+    c = F.col(f"`{column}`")
+    counts = df.where(c.isNotNull()).groupBy(c.cast("string").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    total = df.agg(F.count(c).alias("total"))
+    entry = lambda part, v, k: F.struct(F.lit(part).alias("part"), v.alias("v"), k.alias("c"))
+    last = entry(2, F.lit("TOTAL:"), F.col("total"))
+    if n > 0:
+        kept = counts.orderBy(F.desc("c"), "v").limit(n).agg(F.collect_list(entry(0, F.col("v"), F.col("c"))).alias("kept"), F.coalesce(F.sum("c"), F.lit(0)).alias("most"))
+        other = F.when(F.col("total") > F.col("most"), F.array(entry(1, F.lit("OTHER:"), F.col("total") - F.col("most")))).otherwise(F.slice(F.array(last), 1, 0))
+        rows = kept.join(F.broadcast(total), F.lit(True)).select("total", F.explode(F.concat("kept", other, F.array(last))).alias("e")).select("total", "e.*")
+    else:
+        rows = counts.join(F.broadcast(total), F.lit(True)).select("total", F.lit(0).alias("part"), "v", "c").unionByName(total.select("total", F.explode(F.array(last)).alias("e")).select("total", "e.*"))
     share = F.when(F.col("total") == 0, F.lit(0.0)).otherwise(F.col("c") / F.col("total") * 100)
-    ordered = every.orderBy("part", F.desc("c"), "v")
-    return ordered.select(F.col("v").alias(value), F.col("c").alias(count), share.alias(percent))
+    return rows.orderBy("part", F.desc("c"), "v").select(F.col("v").alias(value), F.col("c").alias(count), share.alias(percent))

@@ -1,6 +1,6 @@
 """Named queries: importing this package fills the registry."""
 
-from . import core, functions, tables, tpch, whole
+from . import core, dialect, functions, statements, tables, tpch
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "core", "functions", "tables", "tpch", "whole"]
+__all__ = ["ORACLES", "QUERIES", "core", "dialect", "functions", "statements", "tables", "tpch"]

@@ -31,12 +31,6 @@ def dml_delete(spark, sf_dir):
     return dml.delete(left, F.col("o_orderstatus") == "O", limit=5, order=[F.col("o_orderkey")]).select("o_orderkey")
 
 
-@query("SELECT r_regionkey, r_name, CAST(NULL AS VARCHAR) AS r_note FROM region UNION ALL SELECT 99, 'NOWHERE', 'added'")
-def dml_add_column_insert(spark, sf_dir):
-    r = load(spark, sf_dir, "region").withColumn("r_note", F.lit(None).cast("string"))
-    return r.unionByName(spark.createDataFrame([(99, "NOWHERE", "added")], "r_regionkey int, r_name string, r_note string"))
-
-
 ORDER_EVENTS = [
     ingest.Target(
         "orders", "o_orderkey bigint, o_custkey bigint, o_orderstatus string, lineitems array<struct<l_linenumber:int,l_partkey:bigint,l_quantity:double>>",
@@ -51,7 +45,8 @@ def order_envelopes(spark, sf_dir):
     lines = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity")).alias("lineitems"))
     o = load(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     status = F.nullif(F.col("o_orderstatus"), F.lit("P"))
-    payload = F.struct(F.lit("order").alias("kind"), "o_orderkey", "o_custkey", status.alias("o_orderstatus"), "lineitems")
+    customer = F.when(F.col("o_orderkey") % 11 == 0, -1).when(F.col("o_orderkey") % 11 != 1, F.col("o_custkey")).alias("o_custkey")  # unknown, none, known
+    payload = F.struct(F.lit("order").alias("kind"), "o_orderkey", customer, status.alias("o_orderstatus"), "lineitems")
     orders = o.select(F.to_json(F.struct(F.lit("stream").alias("mode"), F.col("o_orderkey").cast("string").alias("event_id"), F.lit("shop").alias("source"), payload.alias("payload"))).alias("value"))
     e = load(spark, sf_dir, "events")
     payload = F.struct(F.lit("event").alias("kind"), F.col("event_id").alias("event_key"), "event_type")
@@ -60,17 +55,25 @@ def order_envelopes(spark, sf_dir):
 
 
 def _ingested(spark, sf_dir):
-    return ingest.tables_of(ingest.normalise(order_envelopes(spark, sf_dir)), ORDER_EVENTS)
+    return ingest.accepted(ingest.normalise(order_envelopes(spark, sf_dir)), ORDER_EVENTS, {"customer": load(spark, sf_dir, "customer")})
 
 
-@query("SELECT o_orderkey, o_custkey, coalesce(nullif(o_orderstatus, 'P'), 'N') AS o_orderstatus FROM orders")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 1 THEN o_custkey END AS o_custkey, coalesce(nullif(o_orderstatus, 'P'), 'N') AS o_orderstatus FROM orders WHERE o_orderkey % 11 <> 0
+          AND (o_orderkey % 11 = 1 OR o_custkey IN (SELECT c_custkey FROM customer))""")
 def ingest_parents(spark, sf_dir):
-    return _ingested(spark, sf_dir)["orders"]
+    return _ingested(spark, sf_dir)[0]["orders"]
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 11 <> 0
+          AND (o_orderkey % 11 = 1 OR o_custkey IN (SELECT c_custkey FROM customer)))""")
 def ingest_children(spark, sf_dir):
-    return _ingested(spark, sf_dir)["lineitem"]
+    return _ingested(spark, sf_dir)[0]["lineitem"]
+
+
+@query("""SELECT 'orders' AS target, 'unknown parent' AS reason, o_orderkey::VARCHAR AS event_id FROM orders WHERE o_orderkey % 11 = 0 OR (o_orderkey % 11 <> 1 AND o_custkey NOT IN (SELECT c_custkey FROM customer))
+          UNION ALL SELECT NULL, 'no table', 'e' || event_id FROM events WHERE event_id % 3 <> 0""")
+def ingest_rejects(spark, sf_dir):
+    return _ingested(spark, sf_dir)[1].select("target", "reason", "event_id")
 
 
 @query("SELECT CASE WHEN k = 0 THEN 'orders' WHEN k = 1 THEN 'events' END AS target, count(*) AS n FROM (SELECT 0 AS k FROM orders UNION ALL SELECT CASE WHEN event_id % 3 = 0 THEN 1 END FROM events) t GROUP BY k")
@@ -80,9 +83,9 @@ def ingest_routing(spark, sf_dir):
 
 
 @query("""SELECT source, event_id, n, kind FROM (SELECT 's' AS source, user_id::VARCHAR AS event_id, count(*) AS n,
-          CASE WHEN count(DISTINCT event_type) > 1 THEN 'conflict' WHEN count(*) > 1 THEN 'duplicate' ELSE 'new' END AS kind FROM events WHERE event_id < 300 GROUP BY user_id) t""")
+          CASE WHEN count(DISTINCT event_type) > 1 THEN 'conflict' WHEN count(*) > 1 THEN 'duplicate' ELSE 'new' END AS kind FROM events GROUP BY user_id) t""")
 def ingest_duplicates(spark, sf_dir):
-    e = load(spark, sf_dir, "events").where("event_id < 300")
+    e = load(spark, sf_dir, "events")
     return ingest.classify_duplicates(e.select(F.lit("s").alias("source"), F.col("user_id").cast("string").alias("event_id"), F.col("event_type").alias("payload")))
 
 

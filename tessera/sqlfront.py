@@ -1,50 +1,12 @@
-"""A light pre-pass for the SQL dialect: text outside quotes is rewritten to what Spark SQL parses.
-
-``LIMIT a, b``; bare ``OUTER JOIN`` (left outer); ``AS SIGNED`` and ``AS UNSIGNED``; ``= NULL`` and ``!= NULL``; ``NOT IN (SELECT``
-is left to the DataFrame operators, whose NULL rule differs. ``MATCH(c) AGAINST('...')`` becomes the text-search predicate.
-"""
+"""Queries of the SQL dialect over the tables of a folder; sessions with tables of their own are ``tessera.sql.engine.Engine``."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.catalog import TABLES, load
-from tessera.operators.textsearch import query_terms
-
-_QUOTED = re.compile(r"('(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`)")
-_RULES = (
-    (re.compile(r"\bLIMIT\s+(\d+)\s*,\s*(\d+)", re.I), r"LIMIT \2 OFFSET \1"),
-    (re.compile(r"(?<!LEFT )(?<!RIGHT )(?<!FULL )\bOUTER\s+JOIN\b", re.I), "LEFT OUTER JOIN"),
-    (re.compile(r"\bAS\s+(?:UN)?SIGNED\b", re.I), "AS BIGINT"),
-    (re.compile(r"(?:!=|<>)\s*NULL\b", re.I), "IS NOT NULL"),
-    (re.compile(r"(?<![<>!=])={1,2}\s*NULL\b", re.I), "IS NULL"),
-    (re.compile(r"\bNOT\s+REGEXP\b", re.I), "NOT RLIKE"),
-    (re.compile(r"\bREGEXP\b", re.I), "RLIKE"),
-)
-_MATCH = re.compile(r"\bMATCH\s*\(\s*([\w.]+)\s*\)\s*AGAINST\s*\(\s*'([^']*)'(?:\s+IN\s+(?:NATURAL\s+LANGUAGE|BOOLEAN)\s+MODE)?\s*\)", re.I)
-
-
-def _search(m: re.Match) -> str:
-    terms = query_terms(m[2])
-    if not terms:
-        return "(false)"
-    return "(" + " AND ".join(f"coalesce(lower({m[1]}) RLIKE '(?<![\\\\p{{L}}\\\\p{{N}}]){t}(?![\\\\p{{L}}\\\\p{{N}}])', false)" for t in terms) + ")"
-
-
-def rewrite(sql: str) -> str:
-    pieces = _QUOTED.split(_MATCH.sub(_search, sql))
-    for i in range(0, len(pieces), 2):  # odd pieces are quoted
-        for pattern, new in _RULES:
-            pieces[i] = pattern.sub(new, pieces[i])
-    return "".join(pieces)
+from tessera.sql.engine import Engine
 
 
 def run_sql(spark: SparkSession, sf_dir: str | None, sql: str, args: list | None = None) -> DataFrame:
-    """Run a query of the dialect; ``?`` takes ``args`` in turn. The tables it names are bound to ``sf_dir``."""
-    if sf_dir:
-        for t in TABLES:
-            if re.search(rf"\b{t}\b", sql):
-                load(spark, sf_dir, t).createOrReplaceTempView(t)
-    return spark.sql(rewrite(sql), args=args) if args else spark.sql(rewrite(sql))
+    """Run one statement; ``?`` takes ``args`` in turn."""
+    return Engine(spark, sf_dir).run(sql, args)

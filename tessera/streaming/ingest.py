@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators.dml import StoredTable, upsert
+from tessera.operators.dml import StoredTable
 
 ENVELOPE = "mode string, event_id string, source string, event_time timestamp, source_offset string, shard_key string, headers map<string,string>, payload string"
 
@@ -78,14 +79,13 @@ def _shadowed(t: Target) -> Column:
 
 
 def rows_of(routed: DataFrame, t: Target) -> DataFrame:
-    """Typed rows of one table's events, with mappers, defaults and required fields applied."""
-    own = routed.where(F.col("target") == t.table).select(F.from_json("payload", t.payload).alias("p"), "event_id", "source", "event_time").select("p.*", "event_id", "source", "event_time")
+    """Typed rows of one table's events, with mappers and defaults applied, and the event they came with."""
+    own = routed.where(F.col("target") == t.table).select(F.from_json("payload", t.payload).alias("p"), "event_id", "source", "event_time", F.col("payload").alias("event_payload"))
+    own = own.select("p.*", "event_id", "source", "event_time", "event_payload")
     for name, mapper in t.mappers.items():
         own = own.withColumn(name, mapper(F.col(name)))
     for name, default in t.defaults.items():
         own = own.withColumn(name, F.coalesce(F.col(name), F.expr(default)))
-    for name in (*t.required, *t.key):
-        own = own.where(F.col(name).isNotNull())
     return own
 
 
@@ -96,13 +96,15 @@ def expand(rows: DataFrame, t: Target, child: Child) -> DataFrame:
 
 
 def check_parents(rows: DataFrame, t: Target, tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Rows whose references exist (NULL references do not count), and the rest."""
-    good = rows
-    for fk, (table, key) in t.parents.items():
-        known = tables[table].select(F.col(key).alias(fk)).distinct()
-        good = good.join(known, fk, "left_semi").unionByName(good.where(F.col(fk).isNull()))
-    bad = rows.join(good.select(*t.key).distinct(), list(t.key), "left_anti")
-    return good, bad
+    """Rows whose references exist (NULL references do not count), and the rest. References to tables that are not given
+    are not checked."""
+    checked, missing = rows, F.lit(False)
+    for i, (fk, (table, key)) in enumerate(t.parents.items()):
+        if table in tables:
+            known = tables[table].select(F.col(key).alias(f"parent_{i}")).where(F.col(f"parent_{i}").isNotNull()).distinct()
+            checked = checked.join(known, F.col(fk) == F.col(f"parent_{i}"), "left")
+            missing = missing | (F.col(fk).isNotNull() & F.col(f"parent_{i}").isNull())
+    return checked.where(~missing).select(*rows.columns), checked.where(missing).select(*rows.columns)
 
 
 def classify_duplicates(envelopes: DataFrame) -> DataFrame:
@@ -112,31 +114,60 @@ def classify_duplicates(envelopes: DataFrame) -> DataFrame:
     return seen.select("source", "event_id", "n", kind.alias("kind"))
 
 
-def tables_of(envelopes: DataFrame, targets: list[Target]) -> dict[str, DataFrame]:
-    """All tables' new rows from a batch of envelopes; later events (by time, then id) win over earlier ones of one key."""
-    routed, out = route(envelopes, targets), {}
+EVENT = ("event_id", "source", "event_time", "event_payload")
+REJECTS = "target string, reason string, event_id string, source string, payload string"
+
+
+def accepted(envelopes: DataFrame, targets: list[Target], known: dict[str, DataFrame] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All tables' new rows from a batch of envelopes, and the rejected events with the reason: no table wants it, a required or key
+    field is missing, or a parent is unknown (neither in ``known`` nor new in this batch). Later events (by time,
+    then id) win over earlier ones of one key, with their children: those of superseded events are not loaded. Rows of a
+    table that come directly and nested are put together."""
+    routed, out, known = route(envelopes, targets), {}, dict(known or {})
+    told = lambda rows, table, why: rows.select(
+        F.lit(table).cast("string").alias("target"), F.lit(why).alias("reason"), "event_id", "source", F.col("event_payload").alias("payload")
+    )
+    rejects = told(routed.where(F.col("target").isNull()).withColumn("event_payload", F.col("payload")), None, "no table")
+
+    def add(table: str, rows: DataFrame) -> None:
+        out[table] = out[table].unionByName(rows, allowMissingColumns=True) if table in out else rows
+
     for t in targets:
         rows = rows_of(routed, t)
-        nested = [c.path for c in t.children]
-        flat = rows.drop(*nested)
+        lacking = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in (*t.required, *t.key)), F.lit(False))
+        rejects = rejects.unionByName(told(rows.where(lacking), t.table, "missing field"))
+        parents = {table: known[table].unionByName(out[table], allowMissingColumns=True) if table in out and table in known else known.get(table, out.get(table)) for table, _ in t.parents.values() if table in known or table in out}
+        good, orphans = check_parents(rows.where(~lacking), t, parents)
+        rejects = rejects.unionByName(told(orphans, t.table, "unknown parent"))
         order = F.struct(F.coalesce("event_time", F.lit("1970-01-01").cast("timestamp")), F.coalesce("event_id", F.lit("")))
-        out[t.table] = upsert(flat.limit(0).drop("event_id", "source", "event_time"), flat, t.key, order)
+        won = good.groupBy(*t.key).agg(F.max_by(F.struct(*(c for c in good.columns if c not in t.key)), order).alias("won_row"))
+        won = won.select(*(F.col(c) if c in t.key else F.col(f"won_row.{c}").alias(c) for c in good.columns))
+        add(t.table, won.drop(*EVENT, *(c.path for c in t.children)))
         for c in t.children:
-            out[c.table] = expand(rows, t, c)
-    return out
+            add(c.table, expand(won, t, c))
+    return out, rejects
+
+
+def tables_of(envelopes: DataFrame, targets: list[Target], known: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The new rows of ``accepted``."""
+    return accepted(envelopes, targets, known)[0]
 
 
-def load_batch(envelopes: DataFrame, targets: list[Target], stores: dict[str, StoredTable]) -> None:
-    """Upsert a batch into the stored tables."""
-    for name, rows in tables_of(envelopes, targets).items():
+def load_batch(envelopes: DataFrame, targets: list[Target], stores: dict[str, StoredTable], rejects: StoredTable | None = None) -> None:
+    """Upsert a batch into the stored tables; a batch that comes later overwrites. Parents are looked up in the stores."""
+    parents = {table for t in targets for table, _ in t.parents.values()}
+    out, refused = accepted(envelopes, targets, {name: stores[name].read() for name in parents if name in stores})
+    if rejects is not None:
+        rejects.insert(refused)
+    for name, rows in out.items():
         stores[name].insert(rows)
 
 
-def load_stream(spark: SparkSession, folder: str, checkpoint: str, targets: list[Target], stores: dict[str, StoredTable]) -> StreamingQuery:
+def load_stream(spark: SparkSession, folder: str, checkpoint: str, targets: list[Target], stores: dict[str, StoredTable], rejects: StoredTable | None = None) -> StreamingQuery:
     """Load every file of JSON lines that has arrived in ``folder`` and stop; run again for what comes later."""
 
     def put(batch: DataFrame, number: int) -> None:
-        load_batch(normalise(batch), targets, stores)
+        load_batch(normalise(batch), targets, stores, rejects)
 
     lines = spark.readStream.format("text").load(folder)
     return lines.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
