@@ -4,15 +4,19 @@ The lengths of all documents are counted in one global histogram. Dynamic progra
 upper boundaries that minimise the total padding when each document is padded to its bucket's boundary: with C
 and S the counts and token sums of the lengths up to i, a bucket (i, j] pads ``len_j * (C_j - C_i) - (S_j - S_i)``, and
 the best predecessor of each j is found on the lower envelope of lines of slope ``-C_i``, so a layer is linear in the
-number of distinct lengths. Batches form inside each bucket: a batch has ``budget // boundary`` documents (one at least),
-so its padded size stays within the token budget.
+number of distinct lengths. Batches form inside each bucket: a batch has ``budget // boundary`` documents, so its padded
+size stays within the token budget.
 
-The histogram that the driver sees is bounded: lengths up to ``EXACT`` are counted one by one, longer ones by
-classes of a 64th of their size (rounded up), at most EXACT + 64 * 48 rows at any scale. Documents are numbered inside
-their bucket by counts of (bucket, part) and ranks within a part, never by ranking a whole bucket in one task.
+Buckets are for documents that fit the budget, which also bounds the histogram that the driver sees: at most
+``budget`` rows, every length counted exactly. A longer document is a batch of its own, of its own length and without
+padding, in one more bucket: the only batches over the budget, as documents are never cut.
 
-The length is the number of words plus one for the end of the text. Defined results: a null or empty text has
-length 1; null doc_ids and repeated rows are documents like others; an empty table gives an empty result; other columns,
+Documents are numbered inside their bucket by counts of (bucket, part) and ranks within a part, never by ranking a whole bucket in
+one task. The order is that of a hash of the row and of its number among equal rows, so copies of a document come
+apart. Equal rows are numbered by counts of (row, input task) and ranks within one, so that a hot row is shared out.
+
+The length, and so the budget, is in words: the number of words plus one for the end of the text. Defined results: a null or empty
+text has length 1; null doc_ids and repeated rows are documents like others; an empty table gives an empty result; other columns,
 whatever they are called, are ignored.
 """
 
@@ -26,7 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, cut, text_of
 
-N_BUCKETS, BUDGET, EXACT, PARTS = 8, 16384, 65536, 1024
+N_BUCKETS, BUDGET = 8, 16384
+#: Parts that documents are numbered in: at least so many, and one for so many rows.
+PARTS, PART_ROWS = 1024, 250_000
 
 
 def n_tokens() -> Column:
@@ -35,12 +41,6 @@ def n_tokens() -> Column:
     return F.when(trimmed == "", 1).otherwise(F.size(F.split(trimmed, f"[{SPACE_CLASS}]+")) + 1).cast("long")
 
 
-def length_class(n: Column) -> Column:
-    """The length itself up to EXACT; beyond, the next multiple of a 64th of the power of two below it."""
-    unit = F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double"))) - 6)
-    return F.when(n <= EXACT, n).otherwise((F.ceil(n / unit) * unit).cast("long"))
-
-
 def boundaries(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, n_buckets: int) -> list[int]:
     """Optimal upper boundaries, ascending; fewer if there are fewer distinct lengths. ``sums``: tokens of each class."""
     n = len(lengths)
@@ -83,33 +83,41 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, n_buck
     return out[::-1]
 
 
-def optimal_buckets(sized: DataFrame, n_buckets: int = N_BUCKETS) -> list[int]:
-    """Boundaries for a table with ``n_tokens``, from the histogram of all its rows."""
-    histogram = sized.groupBy(length_class(F.col("n_tokens")).alias("length")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens"))
-    rows = sorted(histogram.collect())  # at most EXACT + 64 * 48 rows
-    columns = np.array(rows, dtype=np.int64).reshape(-1, 3).T
-    return boundaries(*columns, n_buckets)
+def optimal_buckets(sized: DataFrame, n_buckets: int = N_BUCKETS, budget: int = BUDGET) -> list[int]:
+    """Boundaries for a table with ``n_tokens``, from the histogram of all its rows that fit the budget."""
+    histogram = sized.where(F.col("n_tokens") <= budget).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n"))
+    rows = sorted(histogram.collect())  # at most ``budget`` rows
+    lengths, counts = np.array(rows, dtype=np.int64).reshape(-1, 2).T
+    return boundaries(lengths, counts, lengths * counts, n_buckets)
+
+
+def _numbered(sized: DataFrame) -> DataFrame:
+    """``nth``: the number of each row among those with the same ``h``."""
+    own = sized.groupBy("h", "task").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("h").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    own = cut(own.select("h", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "repeats")
+    inside = F.row_number().over(Window.partitionBy("h", "task").orderBy(F.lit(1))) - 1
+    return sized.withColumn("nth", inside).join(own, ["h", "task"]).withColumn("nth", F.col("base") + F.col("nth")).drop("base", "task")
 
 
 def pack(docs: DataFrame, n_buckets: int = N_BUCKETS, budget: int = BUDGET, seed: int = 2) -> DataFrame:
     """doc_id, n_tokens, bucket, bucket_len, batch (number within the bucket), place (in the batch) and padding."""
-    sized = docs.select("doc_id", n_tokens().alias("n_tokens"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
-    sized = cut(sized.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(PARTS)).cast("int")), "lengths")
-    bounds = optimal_buckets(sized, n_buckets)
-    if not bounds:
-        bounds = [1]
-    upper = F.lit(bounds[-1])
-    bucket = F.lit(len(bounds) - 1)
-    for i in range(len(bounds) - 2, -1, -1):
+    sized = docs.select("doc_id", n_tokens().alias("n_tokens"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), F.spark_partition_id().alias("task"))
+    sized = cut(sized, "lengths")
+    bounds = optimal_buckets(sized, n_buckets, budget)
+    upper, bucket = F.col("n_tokens"), F.lit(len(bounds))
+    for i in range(len(bounds) - 1, -1, -1):
         inside = F.col("n_tokens") <= bounds[i]
         upper, bucket = F.when(inside, bounds[i]).otherwise(upper), F.when(inside, i).otherwise(bucket)
-    placed = sized.withColumns({"bucket": bucket.cast("int"), "bucket_len": upper.cast("long")})
-    # Rank = documents of the bucket in lower parts + rank within the part. The counts have n_buckets * PARTS rows at most.
+    parts = max(PARTS, sized.count() // PART_ROWS)
+    placed = _numbered(sized).withColumns({"bucket": bucket.cast("int"), "bucket_len": upper.cast("long"), "order": F.xxhash64("h", "nth")})
+    placed = cut(placed.withColumn("part", F.pmod(F.xxhash64("order"), F.lit(parts)).cast("int")).drop("h", "nth"), "numbered", sized)
+    # Rank = documents of the bucket in lower parts + rank within the part.
     sizes = cut(placed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n")), "part-sizes")
     before = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("bucket", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket", "part").orderBy("h", "doc_id")) - 1)
-    ranked = ranked.join(F.broadcast(bases), ["bucket", "part"]).withColumn("rank", F.col("base") + F.col("rank"))
+    bases = cut(sizes.select("bucket", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases", sizes)
+    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket", "part").orderBy("order", "doc_id")) - 1)
+    ranked = ranked.join(bases, ["bucket", "part"]).withColumn("rank", F.col("base") + F.col("rank"))
     per = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_len")).cast("long"))
     return ranked.select(
         "doc_id", "n_tokens", "bucket", "bucket_len",
