@@ -13,19 +13,28 @@ has the share of its size to the power ``TEMPERATURE``, normalised.
 
 Defined results: a null source is a source of its own; a null or empty text has size 1 (characters plus one); null
 doc_ids are hashed as null, so share one count; repeated rows get equal counts; an empty table gives an empty result; the
-columns of the input are handed on, whatever they are called, with ``copy`` and ``mix_key`` added by ``mix``.
+columns of the input are handed on, whatever they are called, with ``copy`` and ``mix_key`` added by ``mix`` (underscores
+follow these names where the input has them already).
+
+A rate above ``EXACT_RATE`` has no table of probabilities: its quantile is that of the normal distribution with the
+Poisson's mean and variance and the next term of the Cornish-Fisher expansion, rounded; at such means the two differ by one copy at most. So
+what is sent with a source has a fixed size.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, free_names, text_of
 
 TEMPERATURE = 0.5
 #: Sources whose rates are sent to every executor; with more of them, rates meet rows by a shuffle.
-BROADCAST_SOURCES = 20_000
+BROADCAST_SOURCES = 2_000
+#: Rates up to here are inverted exactly, by probabilities of at most EXACT_RATE + 12 * sqrt(EXACT_RATE) + 21 counts.
+EXACT_RATE = 300.0
 #: Targets whose sum is as close to 1 as this are taken as they are.
 SLACK = 1e-9
 
@@ -67,33 +76,57 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, keep_unliste
     # p_k = exp(k ln m - m - ln k!), with Stirling's series for the factorial beyond 20.
     factorial = "if(k <= 20, ln(factorial(k)), k * ln(k) - k + 0.5D * ln(2D * pi() * k) + 1D / (12D * k) - 1D / (360D * k * k * k) + 1D / (1260D * pow(k, 5)))"
     pmf = F.expr(f"transform(sequence(0, cast(ceil(rate + 12 * sqrt(rate) + 20) as int)), k -> exp(k * ln(rate) - rate - {factorial}))")
-    return rated.withColumn("pmf", F.when(F.col("rate") > 0, pmf).otherwise(F.array(F.lit(1.0))))
+    exact = (F.col("rate") > 0) & (F.col("rate") <= EXACT_RATE)
+    return rated.withColumn("pmf", F.when(exact, pmf).when(F.col("rate") <= 0, F.array(F.lit(1.0))))
 
 
-def copies(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 5, keep_unlisted: bool = False, fill: bool = False) -> DataFrame:
-    """``docs`` with ``__rate`` and ``__copies``, the Poisson count of each row."""
+def _normal_quantile(u: Column) -> Column:
+    """Acklam's rational approximation of the standard normal quantile (fixed values), by its middle and its tails."""
+    poly = lambda c, x: reduce(lambda acc, k: acc * x + F.lit(k), c[1:], F.lit(c[0]))
+    a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+    b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+    middle, r = u - 0.5, (u - 0.5) * (u - 0.5)
+    low, high = F.sqrt(F.lit(-2.0) * F.log(u)), F.sqrt(F.lit(-2.0) * F.log(1 - u))
+    return F.when(u < 0.02425, poly(c, low) / poly(d, low)).when(u > 1 - 0.02425, -poly(c, high) / poly(d, high)).otherwise(middle * poly(a, r) / poly(b, r))
+
+
+def _with_copies(docs: DataFrame, weights: dict[str, float] | None, seed: int, keep_unlisted: bool, fill: bool) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, the Poisson count of each row, and its name."""
     rated = cut(rates(docs, weights, keep_unlisted, fill), "rates")
-    own = rated.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("pmf").alias("__pmf"))
+    source, rate, pmf, u, copies = free_names(docs, "of_source", "of_rate", "of_pmf", "of_u", "of_copies")
+    own = rated.select(F.col("source").alias(source), F.col("rate").alias(rate), F.col("pmf").alias(pmf))
     few = rated.count() <= BROADCAST_SOURCES
-    found = docs.join(F.broadcast(own) if few else own, F.col("source").eqNullSafe(F.col("__source")))
-    found = found.withColumn("__u", uniform(seed, F.col("doc_id")))
+    found = docs.join(F.broadcast(own) if few else own, F.col("source").eqNullSafe(F.col(source)))
+    found = found.withColumn(u, uniform(seed, F.col("doc_id")))
     # The quantile: how many values of the distribution function lie at or below u.
-    quantile = "aggregate(__pmf, struct(0D as s, 0 as n), (a, p) -> struct(a.s + p as s, a.n + if(__u >= a.s + p, 1, 0) as n)).n"
-    return found.withColumn("__copies", F.expr(quantile)).drop("__source", "__pmf", "__u")
+    quantile = F.expr(f"aggregate({pmf}, struct(0D as s, 0L as n), (a, p) -> struct(a.s + p as s, a.n + if({u} >= a.s + p, 1L, 0L) as n)).n")
+    z = _normal_quantile(F.col(u))
+    far = F.greatest(F.lit(0.0), F.floor(F.col(rate) + F.sqrt(rate) * z + (z * z - 1) / 6 + 0.5)).cast("long")
+    return found.withColumn(copies, F.when(F.col(pmf).isNotNull(), quantile).otherwise(far)).drop(source, rate, pmf, u), copies
+
+
+def copies(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 5, keep_unlisted: bool = False, fill: bool = False) -> DataFrame:
+    """doc_id, source and ``copies`` of each row."""
+    found, count = _with_copies(docs, weights, seed, keep_unlisted, fill)
+    return found.select("doc_id", "source", F.col(count).alias("copies"))
+
+
+def _exploded(docs: DataFrame, names: list[str], weights, seed: int, keep_unlisted: bool, fill: bool) -> DataFrame:
+    """Each row once for each copy, with its number and a hash of id and number under ``names``, in the order of that hash."""
+    copy, key = names
+    counted, count = _with_copies(docs, weights, seed, keep_unlisted, fill)
+    exploded = counted.where(F.col(count) > 0).select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col(count).cast("int") - 1)).alias(copy))
+    keyed = exploded.withColumn(key, digest_bits(15, seed, F.col("doc_id"), F.col(copy)))
+    return keyed.repartitionByRange(key).sortWithinPartitions(key, "doc_id", copy)
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 5, keep_unlisted: bool = False, fill: bool = False) -> DataFrame:
     """The mixture: each row of ``docs`` once for each copy, in shuffled order, with ``copy`` (from 0) and ``mix_key``."""
-    own = [c for c in docs.columns if c not in ("copy", "mix_key")]
-    counted = copies(docs, weights, seed, keep_unlisted, fill).where("__copies > 0")
-    exploded = counted.select(*own, F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("copy"))
-    keyed = exploded.withColumn("mix_key", digest_bits(15, seed, F.col("doc_id"), F.col("copy")))
-    return keyed.repartitionByRange("mix_key").sortWithinPartitions("mix_key", "doc_id", "copy")
+    return _exploded(docs, free_names(docs, "copy", "mix_key"), weights, seed, keep_unlisted, fill)
 
 
 def mixture(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 5, keep_unlisted: bool = False, fill: bool = False) -> DataFrame:
     """As ``mix``, with the columns of ``docs`` alone."""
-    counted = copies(docs, weights, seed, keep_unlisted, fill).where("__copies > 0")
-    exploded = counted.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("__copy"))
-    keyed = exploded.withColumn("__mix_key", digest_bits(15, seed, F.col("doc_id"), F.col("__copy")))
-    return keyed.repartitionByRange("__mix_key").sortWithinPartitions("__mix_key", "doc_id", "__copy").select(*docs.columns)
+    return _exploded(docs, free_names(docs, "copy", "mix_key"), weights, seed, keep_unlisted, fill).select(*docs.columns)
