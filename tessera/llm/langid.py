@@ -3,8 +3,9 @@
 A text's vector holds the character 1-, 2- and 3-grams of its letters (lower case, everything else one
 space), hashed to ``DIMS`` places, as sublinear TF times IDF, with length 1. Each language has several
 centroids, found by clustering its training vectors by cosine; a text gets the language of the nearest one.
-The score is that cosine. A text further from its nearest centroid than ``SLACK`` times the distance scale
-seen in training (the similarity that nearly all training texts exceed) is rejected.
+The score is that cosine. Distance decides on rejection: a text is rejected if its similarity to the nearest centroid is below
+``SLACK`` times what all but ``QUANTILE`` of the language's training texts of about as many different n-grams reach (short texts are
+further from any centroid than long ones, so a foreign text of some length is rejected where a short native one is not).
 
 The classifier is fitted on the driver on a bounded sample: at most ``PER_LANGUAGE`` labelled rows of each
 language, those with the smallest hash. Prediction sees the text alone, whole, in Arrow batches; the model
@@ -21,14 +22,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import unit_hash
 
 DIMS, CENTROIDS, PER_LANGUAGE, ROUNDS = 4096, 4, 600, 12
-SLACK, QUANTILE = 0.5, 0.002
+#: Labels that a model tells apart: those with the most rows.
+MOST_LANGUAGES = 1000
+SLACK, QUANTILE = 0.8, 0.005
+#: Sizes of texts for rejection: powers of two of different n-grams; a size takes in its neighbours until it has so many texts.
+SIZES, LEAST_TEXTS = 13, 50
 UNKNOWN = "und"
 _LETTER: list[np.ndarray] = []
 
@@ -69,11 +74,27 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
+def size_of(grams):
+    return np.minimum(np.log2(np.maximum(grams, 1)).astype(np.int64), SIZES - 1)
+
+
+def scales(near: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The similarity that all but QUANTILE of the training texts of each size reach. Below the smallest size seen it falls
+    with the root of the number of n-grams, as the cosine of a part of a text does."""
+    size, out = size_of(grams), np.zeros(SIZES)
+    for b in range(SIZES):
+        reach = 0
+        while (np.abs(size - b) <= reach).sum() < min(LEAST_TEXTS, len(size)):
+            reach += 1
+        out[b] = np.quantile(near[np.abs(size - b) <= reach], QUANTILE) * 2.0 ** (-max(0, size.min() - b) / 2)
+    return out
+
+
 @dataclass
 class Model:
     languages: list[str] = field(default_factory=list)  # of each centroid
     centroids: np.ndarray = field(default_factory=lambda: np.zeros((0, DIMS), np.float32))
-    least: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    least: np.ndarray = field(default_factory=lambda: np.zeros((0, SIZES)))  # of each centroid and size of text
     idf: np.ndarray = field(default_factory=lambda: np.ones(DIMS, np.float32))
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
@@ -82,7 +103,7 @@ class Model:
             return UNKNOWN, 0.0, True
         near = self.centroids @ _unit(sublinear(n) * self.idf)
         k = int(near.argmax())
-        return self.languages[k], float(min(1.0, max(0.0, near[k]))), bool(near[k] < self.least[k])
+        return self.languages[k], float(min(1.0, max(0.0, near[k]))), bool(near[k] < self.least[k, size_of(np.count_nonzero(n))])
 
 
 def cluster(x: np.ndarray, k: int) -> np.ndarray:
@@ -101,8 +122,8 @@ def cluster(x: np.ndarray, k: int) -> np.ndarray:
 
 def train(docs: DataFrame, trainable: Column, per_language: int = PER_LANGUAGE) -> Model:
     """Fit on the rows of ``docs`` where ``trainable`` holds and lang is not null."""
-    rows = docs.where(trainable & F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text", unit_hash(F.col("doc_id"), F.crc32("text")).alias("u"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = docs.where(trainable & F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text", unit_hash(F.col("doc_id"), F.col("text")).alias("u"))
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not sizes:
         return Model()
     share = F.lit(0.0)
@@ -115,8 +136,11 @@ def train(docs: DataFrame, trainable: Column, per_language: int = PER_LANGUAGE)
                 if (n := counts(text)) is not None:
                     yield pa.RecordBatch.from_pydict({"lang": [lang], "u": [u], "v": [sublinear(n).astype(np.float16).tobytes()]})
 
-    drawn = rows.where(F.col("u") < share).select("lang", "u", "text")
-    found = drawn.mapInArrow(vectors, "lang string, u double, v binary").limit(2 * (per_language + 20) * len(sizes)).collect()
+    # Rows repeated with the same id and text count once; then those with the smallest hashes of each language.
+    drawn = rows.where(F.col("u") < share).groupBy("lang", "u").agg(F.first("text").alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("u"))
+    drawn = drawn.withColumn("place", first).where(F.col("place") <= per_language + 20).select("lang", "u", "text")
+    found = drawn.mapInArrow(vectors, "lang string, u double, v binary").collect()
     found.sort(key=lambda r: (r.lang, r.u, r.v))
     by: dict[str, list[np.ndarray]] = {}
     for r in found:
@@ -134,8 +158,8 @@ def train(docs: DataFrame, trainable: Column, per_language: int = PER_LANGUAGE)
         near = (x @ c.T).max(axis=1)
         model.languages += [lang] * len(c)
         centroids.append(c)
-        least += [SLACK * float(np.quantile(near, QUANTILE))] * len(c)
-    model.centroids, model.least = np.concatenate(centroids).astype(np.float32), np.array(least)
+        least += [SLACK * scales(near, (x > 0).sum(axis=1))] * len(c)
+    model.centroids, model.least = np.concatenate(centroids).astype(np.float32), np.stack(least)
     return model
 
 
