@@ -7,7 +7,8 @@ of equals, is its anchor; equal windows have equal anchors at equal offsets. Suc
 one anchor position form a run, whose string is at most 2 * WINDOW - GRAM bytes. Runs meet by anchor:
 
 * an anchor that occurs once has no repeats;
-* of runs with the same string all but the first are repeats from end to end;
+* of runs with the same string (by anchor and a 64-bit hash of the string: with k different strings of one anchor, two are
+  taken for equal with probability k * k / 2**65 at most) all but the first are repeats from end to end;
 * different strings of one anchor are put one after the other, in document order, and the suffix array of that text
   brings equal windows together; the windows of each class but the first are repeats. (A single string of an anchor cannot
   repeat a window inside itself: the anchor would be at two offsets of the same window.)
@@ -42,6 +43,8 @@ SAMPLE_OF, SAMPLE_ALL, HOT_SEEN, HOT_MOST = 64, 4096, 16, 100_000
 LOCKSTEP, CELLS = 1500, 1 << 19
 #: Documents whose runs are held and sorted together.
 SLICE = 2048
+#: Rows of one doc_id are numbered in ranges of so many leading bits of their text's hash.
+PART_BITS = 12
 _SPAN = WINDOW - GRAM + 1
 _LOW = np.uint64((1 << 20) - 1)
 _CHUNK = (1 << 20) - 4 * WINDOW
@@ -238,11 +241,19 @@ def _sorted_spans(batches):
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id (null: the smallest long), nth (place among rows of one doc_id) and text."""
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), text_of().alias("text"))
+    """doc_id (null: the smallest long), nth (place among rows of one doc_id, null ids first), no_id and text. Rows of one id are
+    dealt over ranges of the hash of their text, so that an id that many rows share, or none, is numbered by many tasks."""
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), text_of().alias("text"))
     if own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        return own.select("doc_id", F.lit(0).alias("nth"), "text")
-    return cut(own.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")) - 1), "numbered").select("doc_id", "nth", "text")
+        return own.select("doc_id", F.lit(0).alias("nth"), "no_id", "text")
+    own = own.withColumns({"h": F.xxhash64("text"), "tie": F.struct(F.hash("text"), F.crc32("text"), F.octet_length("text"))})
+    own = own.withColumns({"known": ~F.col("no_id"), "part": F.shiftright("h", 64 - PART_BITS).cast("int")})
+    sizes = cut(own.groupBy("doc_id", "known", "part").agg(F.count(F.lit(1)).alias("n")), "id-sizes")
+    before = Window.partitionBy("doc_id").orderBy("known", "part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = cut(sizes.select("doc_id", "known", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "id-bases", sizes)
+    place = F.row_number().over(Window.partitionBy("doc_id", "known", "part").orderBy("h", "tie")) - 1
+    placed = own.withColumn("place", place).join(bases, ["doc_id", "known", "part"])
+    return cut(placed.select("doc_id", (F.col("base") + F.col("place")).cast("int").alias("nth"), "no_id", "text"), "numbered")
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
@@ -279,7 +290,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay) of every row of ``docs``."""
     own = numbered(docs)
     spans = removed_spans(own).groupBy("doc_id", "nth").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
-    joined = own.join(spans, ["doc_id", "nth"], "left").select("doc_id", "text", "gone")
+    joined = own.join(spans, ["doc_id", "nth"], "left").select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "text", "gone")
 
     def apply(batches):
         for batch in batches:
@@ -296,7 +307,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                     lost = np.cumsum(depth[:-1]) > 0
                     spans_ = int(lost[0]) + int((lost[1:] & ~lost[:-1]).sum())
                     raw = data[~lost].tobytes()
-                out.append((None if doc_id == -(1 << 63) else doc_id, len(data), len(data) - len(raw), spans_, hashlib.sha256(raw).hexdigest(), raw))
+                out.append((doc_id, len(data), len(data) - len(raw), spans_, hashlib.sha256(raw).hexdigest(), raw))
             yield pa.RecordBatch.from_pylist([dict(zip(_OUT.names, r, strict=True)) for r in out], schema=_OUT)
 
     return joined.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
