@@ -1,5 +1,6 @@
 """Token files, language identification, toxicity and near-duplicate classes against plain versions."""
 
+import math
 import random
 import re
 import zlib
@@ -21,7 +22,8 @@ def path():
     return public.path("byte_bpe_50k.json")
 
 
-TEXTS = [*AWKWARD, "a\x1cb \x1c\x1c c\x0b\x0c \x85\xa0 d", "I'll can't 12ab_c-d,,  e", "<|endoftext|> in the text <|endoftext|>", "it's   we'll  \n\n \t x", "  two  spaces  ", "12 3456 ½ ²", "​zero‍width", *[f"document {i} " * (i % 7) for i in range(200)]]
+TEXTS = [*AWKWARD, "a\x1cb \x1c\x1c c\x0b\x0c \x85\xa0 d", "I'll can't 12ab_c-d,,  e", "<|endoftext|> in the text <|endoftext|>", "it's   we'll  \n\n \t x", "  two  spaces  ", "12 3456 ½ ²", "​zero‍width", "a \n b  \n", "x \u200b y",
+         *[f"a {c}'s 1{c}'s {c} {c}{c}" for c in "\u0558\u0c5c\u208f\ua7ce\U00011db0\U0001df64\u0300\u00b2\u180e\u2028\x1c\x85"], *[f"document {i} " * (i % 7) for i in range(200)]]
 
 
 def test_token_files_match_the_library(spark):
@@ -55,6 +57,17 @@ def test_a_dictionary_helps_short_documents_and_is_checked(spark):
         list(tokens._frames([spark.read.parquet(f"{where}/blocks").limit(1).toArrow()], b"", "another"))
 
 
+def test_chunks_are_encoded_as_the_library_does(monkeypatch):
+    """Random texts of characters of all classes, the second time with a memory that overflows all the time."""
+    plain, rng = tokenizers_lib.Tokenizer.from_file(path()), random.Random(7)
+    for most in (tokens.MEMO, 3):
+        monkeypatch.setattr(tokens, "MEMO", most)
+        own = tokens.Encoder(path(), 2)
+        for _ in range(1500):
+            text = "".join(rng.choices("ab1 '  \n\t.é漢½\u00a0\u3000\u0558\u0c5c\U0001df64\u200b s!", k=rng.randrange(16)))
+            assert np.frombuffer(own.serialised(text), own.dtype).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2], repr(text)
+
+
 def test_other_tokenizers_are_encoded_whole():
     other = tokens.Encoder(public.path("word_bpe_49k.json"), 2)
     plain = tokenizers_lib.Tokenizer.from_file(public.path("word_bpe_49k.json"))
@@ -112,6 +125,57 @@ def test_language_vectors_match_brute_force():
     assert langid.counts("abc").sum() == 5 + 4 + 3
 
 
+def plain_grams(text):
+    """n-grams of a text by hand: letters in lower case, one space for a run of others, and their places."""
+    points = [ord(c) if c.isalpha() else 32 for c in text.lower()]
+    joined = [32]
+    for p in [*points, 32]:
+        if p != 32 or joined[-1] != 32:
+            joined.append(p)
+    m, out = 1 << 32, Counter()
+    for i, p in enumerate(joined):
+        a = p * 2654435761 % m
+        out[a >> 20] += 1
+        if i + 1 < len(joined):
+            b = a ^ (joined[i + 1] * 2246822519 + 374761393) % m
+            out[(b * 3266489917 % m) >> 20] += 1
+            if i + 2 < len(joined):
+                c = (b * 3266489917 % m) ^ (joined[i + 2] * 668265263 % m)
+                out[(c * 2654435761 % m) >> 20] += 1
+    return out
+
+
+def test_language_prediction_matches_brute_force(spark):
+    docs = languages(spark)
+    model = langid.train(docs, ~langid.held_out())
+    texts = [r.text for r in docs.orderBy("doc_id").limit(25).collect()] + [t for t in AWKWARD if t and len(t) < 7000] + ["漢字仮名交じり文の例です" * 5, "Größe, 12 und mehr!"]
+    got = {r.doc_id: r for r in langid.predict(table(spark, texts), model).collect()}
+    for i, text in enumerate(texts):
+        if not any(c.isalpha() for c in text):
+            assert got[i].lang_pred == "und" and got[i].rejected and got[i].score == 0
+            continue
+        v = {k: (1 + math.log(n)) * float(model.idf[k]) for k, n in plain_grams(text).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        near = [sum(x * float(c[k]) for k, x in v.items()) / norm for c in model.centroids]
+        best = max(near)
+        assert abs(got[i].score - min(1, max(0, best))) < 1e-4
+        ties = [k for k, x in enumerate(near) if x > best - 1e-4]
+        assert got[i].lang_pred in {model.languages[k] for k in ties}
+        sized = [model.least[k][min(langid.SIZES - 1, int(math.log2(len(v))))] for k in ties]
+        assert got[i].rejected in {best < x for x in sized} or min(abs(best - x) for x in sized) < 1e-4
+
+
+def test_clusters_are_settled_and_the_sample_is_bounded(spark):
+    docs = languages(spark)
+    model = langid.train(docs, ~langid.held_out())
+    again = langid.train(docs.unionByName(docs).unionByName(docs).repartition(7), ~langid.held_out())
+    assert model.languages == again.languages and np.allclose(model.centroids, again.centroids, atol=1e-3)  # repeated rows count once
+    x = langid._unit(np.random.default_rng(3).random((60, 8)).astype(np.float32))
+    c = langid.cluster(x, 3)
+    own = np.array([max(range(3), key=lambda j: float(v @ c[j])) for v in x])
+    assert all(np.allclose(langid._unit(x[own == j].mean(axis=0)), c[j], atol=1e-2) for j in range(3))
+
+
 def test_language_edge_cases(spark):
     docs, empty = awkward(spark), spark.createDataFrame([], SCHEMA)
     model = langid.train(docs, F.lit(True))
@@ -162,6 +226,34 @@ def test_ordinal_fit_maximises_the_likelihood():
             assert loss(near[:3], near[3:]) > least
 
 
+def test_toxicity_prediction_matches_brute_force(spark):
+    docs, labels = toxic_table(spark)
+    model = toxicity.train(docs, labels)
+    weight = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+    code = lambda w: int(minhash.word_hashes(np.frombuffer(w, np.uint8))[0] >> np.uint64(32))
+    texts = [*(r.text for r in docs.orderBy("doc_id").limit(20).collect()), None, "", "IDIOT!! idiot-Idiot moron", "vilerat viletax " * 9]
+    got = {r.doc_id: r for r in toxicity.predict(table(spark, texts), model).collect()}
+    for i, text in enumerate(texts):
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").lower().encode())
+        seen = Counter(code(w) for w in words)
+        for n in toxicity.PREFIXES:  # beginnings of longer words have hashes of their own
+            for w in words:
+                if len(w) > n:
+                    seen[int(minhash.word_hashes(np.frombuffer(w, np.uint8), toxicity.PREFIXES)[1 + [k for k in toxicity.PREFIXES if len(w) > k].index(n)] >> np.uint64(32))] += 1
+        score = sum(weight[k] * (1 + math.log(n)) for k, n in seen.items() if k in weight)
+        want = [1 / (1 + math.exp(-max(-40, min(40, score - c)))) for c in model.cuts]
+        assert got[i].severity == pytest.approx(sum(want)) and got[i].toxic == (sum(want) >= 0.5)
+
+
+def test_features_of_a_small_labelled_set():
+    """The test adapts to the number of rows and features; noise is not selected."""
+    rng = np.random.default_rng(5)
+    noise1, noise0 = rng.binomial(40, 0.2, 3000), rng.binomial(60, 0.2, 3000)
+    df1, df0 = np.concatenate((noise1, [20, 25])), np.concatenate((noise0, [0, 1]))
+    gain = toxicity.surely_toxic(df1, df0, 40, 60)
+    assert (gain[-2:] > 0).all() and (gain[:-2] > 0).sum() <= 1
+
+
 def test_toxicity_edge_cases(spark):
     docs, labels = awkward(spark), spark.createDataFrame([(0, 1, None), (3, None, 1), (8, 0, 0), (8, 0, 1), (None, 1, 1), (777, 1, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.train(clashing(docs), labels)
@@ -254,12 +346,27 @@ def test_count_weights(spark):
     assert rows == {0: 0, 1: 1, 2: 1}
 
 
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    """Of several texts under one id each is compared, whatever the order of the rows; rows without id are too."""
+    base = {k: [f"{k}{i}" for i in range(80)] for k in "abc"}
+    a, b, c = (" ".join(x) for x in base.values())
+    a2, b2, c2 = (" ".join([*x[:-2], "other"]) for x in base.values())
+    rows = [(5, a), (5, b), (6, a2), (7, b2), (None, c), (None, c2), (None, "alone " * 9), (None, " "), (8, ""), (8, "")]
+    for order in (rows, rows[::-1], [rows[1], rows[0], *rows[2:]]):
+        docs = spark.createDataFrame([(i, t, None, None, None) for i, t in order], SCHEMA).coalesce(1)
+        got = Counter((r.doc_id, r.class_id, r.class_size) for r in minhash.classes(docs).collect())
+        assert got == Counter([(5, 5, 2), (5, 5, 2), (6, 5, 2), (7, 5, 2), (None, None, 2), (None, None, 2), (None, None, 1), (None, None, 1), (8, 8, 1), (8, 8, 1)])
+        kept = Counter((r.doc_id, r.text) for r in minhash.keep_one(docs).collect())
+        assert sum(kept.values()) == 7 and kept[5, a] == kept[5, b] == 1 and kept[8, ""] == 2 and kept[None, c] + kept[None, c2] == 1 and kept[None, "alone " * 9] == 1
+
+
 def test_near_duplicate_edge_cases(spark):
     docs = awkward(spark)
     rows = minhash.classes(clashing(docs)).collect()
     assert len(rows) == docs.count() and [r.class_id for r in rows if r.doc_id is None] == [None]
     by = {r.doc_id: r.class_id for r in rows}
     assert by[8] == by[9] == 8 and by[0] == 0 and by[1] == 1 and by[100] == by[101] == 100
+    assert sorted(r.doc_id for r in minhash.keep_one(clashing(docs)).collect() if r.doc_id is not None and r.doc_id >= 100) == [100]
     empty = spark.createDataFrame([], SCHEMA)
     assert minhash.classes(empty).count() == 0 and minhash.keep_one(empty).count() == 0
     assert minhash.keep_one(docs).where("doc_id is null").count() == 1

@@ -161,6 +161,34 @@ def test_full_bytes_are_checked_on_hits(spark):
         assert (r.keep_id, r.group_size) == want[(texts[r.doc_id] or "").replace(" ", "")], r
 
 
+def test_state_goes_on_over_batches_and_restarts(spark, tmp_path):
+    """Documents that come later meet the state of earlier ones, in micro-batches of single files."""
+    texts = [*AWKWARD, *["copy of the\ttext", "copy  of the text"] * 5, "one more", None]
+    home, want = str(tmp_path / "home"), plain_groups(enumerate(texts))
+    for lo, hi in ((0, 9), (9, 9), (9, 20), (20, len(texts))):
+        state = exact_dedup.absorb(table(spark, texts[lo:hi], lo).repartition(3), home, batch_bytes=1)
+    got = {r.digest: (r.best.doc_id, r.arrived) for r in state.collect()}
+    assert got == {hashlib.sha256(norm.encode()).hexdigest(): v for norm, v in want.items()}
+    assert len([p for p in (tmp_path / "home" / "batches").iterdir() if p.name.isdigit()]) > 3
+
+
+@pytest.mark.parametrize("salt_rows", [2000, 2])
+def test_one_row_of_a_group_is_kept(spark, monkeypatch, salt_rows):
+    """Rows repeated with one id and text, ids repeated with other texts, and null ids."""
+    monkeypatch.setattr(exact_dedup, "SALT_ROWS", salt_rows)
+    rows = [(5, "a b"), (5, "a b"), (5, "ab"), (6, "a  b"), (6, "a  b"), (None, "n n"), (None, "n n"), (7, "x"), (7, "y"), (7, "x"), (8, "y "), (None, "z"), (9, "z")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA).repartition(4)
+    out = exact_dedup.groups(docs).collect()
+    assert len(out) == len(rows)
+    by = defaultdict(list)
+    for r in out:
+        by[r.text_sha256].append(r)
+    assert all(sum(r.kept for r in g) == 1 and {r.group_size for r in g} == {len(g)} for g in by.values())
+    want = sorted([(6, "a  b"), (None, "n n"), (7, "x"), (8, "y "), (9, "z")], key=str)
+    assert sorted(((r.doc_id, r.keep_id) for r in out if r.kept), key=str) == sorted(((i, i) for i, _ in want), key=str)
+    assert sorted(((r.doc_id, r.text) for r in exact_dedup.deduplicate(docs).collect()), key=str) == want
+
+
 def test_exact_dedup_edge_cases(spark):
     docs = awkward(spark)
     assert exact_dedup.groups(clashing(docs)).count() == docs.count()

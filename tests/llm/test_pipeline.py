@@ -62,13 +62,24 @@ def test_mixing_edge_cases(spark, monkeypatch, few):
     assert out.columns == clashing(docs).columns
     per = Counter(r.doc_id for r in mixing.mixture(docs).collect())
     assert per[100] % 2 == 0  # repeated rows share one count
-    assert mixing.mix(clashing(docs)).columns[-2:] == ["copy", "mix_key"]
+    assert mixing.mix(docs).columns[-2:] == ["copy", "mix_key"] and mixing.mix(clashing(docs)).columns[-2:] == ["copy_", "mix_key_"]
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mix(docs, {"src0": 1.0}).select("source").distinct().collect() == [("src0",)]
     tiny = spark.createDataFrame([(i, "x" * 9999, "en", "big", 1) for i in range(50)] + [(99, "", "en", "tiny", 0)], SCHEMA)
     n = Counter(r.source for r in mixing.mix(tiny, {"big": 0.99, "tiny": 0.01}).collect())
     assert abs(n["tiny"] - 5000) < 300
 
 
+@pytest.mark.parametrize("rate", [250.0, 320.0, 5000.0])
+def test_high_rates(spark, monkeypatch, rate):
+    """The quantile without a table of probabilities is within one copy of the exact one."""
+    docs = spark.createDataFrame([(i, "x" * 9, "en", "hot", 9) for i in range(40)] + [(99, "y" * 1_000_000, "en", "bulk", 1)], SCHEMA)
+    size = {"hot": 400, "bulk": 1_000_001}
+    share = rate * size["hot"] / sum(size.values())
+    got = {r.doc_id: r.copies for r in mixing.copies(docs, {"hot": share, "bulk": 1 - share}).where("source = 'hot'").collect()}
+    assert all(abs(n - plain_count(rate, i)) <= (rate > mixing.EXACT_RATE) for i, n in got.items())
+    assert sum(got.values()) == pytest.approx(40 * rate, rel=0.05)
+
+
 def sized(spark, path, counts):
     """Documents of equal size, so many of each source, as a stored table."""
     rows = [(s, "x" * 99) for s, n in counts.items() for _ in range(n)]
@@ -119,11 +130,15 @@ def check_packed(rows, budget):
         batches[r.bucket, r.batch].append(r)
     for group in batches.values():
         per = max(1, budget // group[0].bucket_len)
+        if group[0].bucket_len > budget:  # only documents that are too long themselves, alone and unpadded
+            assert len(group) == 1 and group[0].padding == 0
+            continue
+        assert len({r.bucket_len for r in group}) == 1 and len(group) * group[0].bucket_len <= budget
         assert sorted(r.place for r in group) == list(range(len(group))) and len(group) <= per
     for bucket in {b for b, _ in batches}:
         own = sorted(n for b, n in batches if b == bucket)
         assert own == list(range(len(own)))
-        per = max(1, budget // batches[bucket, 0][0].bucket_len)
+        per = max(1, budget // min(r.bucket_len for n in own for r in batches[bucket, n]))
         assert all(len(batches[bucket, n]) == per for n in own[:-1])
 
 
@@ -135,16 +150,26 @@ def test_packing(spark):
     want = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) + 1 for i, t in enumerate(texts)}
     assert all(r.n_tokens == want[r.doc_id] for r in rows)
     check_packed(rows, 2048)
-    n = Counter(want.values())
+    n = Counter(x for x in want.values() if x <= 2048)
     keys = sorted(n)
     bounds = packing.boundaries(np.array(keys), np.array([n[x] for x in keys]), np.array([x * n[x] for x in keys]), 4)
-    assert sorted({r.bucket_len for r in rows}) == bounds
+    assert sorted({r.bucket_len for r in rows if r.bucket_len <= 2048}) == bounds
+
+
+def test_documents_over_the_budget_are_batches_of_their_own(spark):
+    lengths = [70_002, 71_000, 72_102, 30_001, 16_384, 16_385, 10_000, 3, 1]
+    rows = packing.pack(table(spark, ["w " * (n - 1) for n in lengths])).collect()
+    check_packed(rows, packing.BUDGET)
+    assert {r.n_tokens for r in rows if r.bucket_len > packing.BUDGET} == {n for n in lengths if n > packing.BUDGET}
+    assert sum(r.padding for r in rows) == 0
 
 
-def test_very_long_lengths_are_counted_in_classes(spark):
-    values = [1, 65536, 65537, 100_000, 10**7, 10**9 + 1]
-    rows = spark.createDataFrame([(v,) for v in values], "n long").select("n", packing.length_class(packing.F.col("n")).alias("c")).collect()
-    assert all(r.c >= r.n and r.c <= r.n * (1 + 1 / 64) + 1 for r in rows) and rows[0].c == 1 and rows[1].c == 65536
+def test_copies_of_a_document_come_apart(spark):
+    docs = table(spark, [f"{'w ' * (i % 9)}{i}" for i in range(300)])
+    rows = packing.pack(docs.unionByName(docs).unionByName(docs).repartition(5), 4, 200).collect()
+    check_packed(rows, 200)
+    together = Counter((r.bucket, r.batch, r.doc_id) for r in rows)
+    assert sum(n == 3 for n in together.values()) < 10 and len(together) > 700
 
 
 def test_packing_edge_cases(spark):

@@ -91,3 +91,18 @@ def test_removal_edge_cases(spark):
     twice = table(spark, [LINE * 2]).unionByName(table(spark, [LINE * 2]))
     assert sorted(r.n_removed for r in substrings.dedup(twice).collect())[1] == len(LINE) * 2
     assert substrings.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("bits", [12, 1])
+def test_missing_repeated_and_extreme_ids(spark, monkeypatch, bits):
+    """Null ids come first and stay null; the smallest long is an id like others; repeated ids are told apart by their texts."""
+    monkeypatch.setattr(substrings, "PART_BITS", bits)
+    text = LINE * 2
+    rows = [(-(1 << 63), text), (None, text), (None, "short"), (7, text), (7, text + "tail"), (None, text), (-(1 << 63), "other " * 30)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA).repartition(3)
+    out = substrings.dedup(docs).collect()
+    assert sorted(str(r.doc_id) for r in out) == sorted(str(i) for i, _ in rows)
+    whole = [r for r in out if r.n_bytes == len(text) and r.n_removed == 0]
+    assert [r.doc_id for r in whole] == [None]  # the first of five copies
+    assert sorted(r.n_removed for r in out if r.n_bytes == len(text)) == [0] + [len(text)] * 3
+    assert [r.n_removed for r in out if r.n_bytes == len(text) + 4] == [len(text)]
