@@ -42,11 +42,12 @@ def _on(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> Column:
 HASH_BITS = 12
 
 
-def stratified_sample(df: DataFrame, column: str, percent: float, seed: int = 0) -> DataFrame:
-    """``percent`` of the rows of each value of ``column`` (NULL is a value too), rounded down: those of the least salted hash.
-    Identical rows are numbered and hashed apart, so the sample is the same in every run."""
-    drawn = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n")).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    drawn = drawn.withColumn("__hash", F.xxhash64(F.lit(seed), *df.columns, "__i")).withColumn("__range", F.shiftright("__hash", 64 - HASH_BITS))
+def stratified_sample(df: DataFrame, column: str, percent: float, seed: int = 0, key: list[str] | None = None) -> DataFrame:
+    """``percent`` of the rows of each value of ``column`` (NULL is a value too), rounded down: those of the least salted hash of
+    ``key`` (all columns by default). Identical rows are numbered and hashed apart, so the sample is the same in every run."""
+    drawn = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n")).withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+    text = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in key or df.columns), F.col("__i").cast("string"))
+    drawn = drawn.withColumn("__hash", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")).withColumn("__range", F.shiftright("__hash", 60 - HASH_BITS))
     counts = drawn.groupBy(F.col(column).alias("__value"), F.col("__range").alias("__part")).agg(F.count(F.lit(1)).alias("__rows"))
     whole = Window.partitionBy("__value")
     counts = counts.withColumn("__take", F.floor(F.sum("__rows").over(whole) * F.lit(round(percent * 10_000)) / F.lit(1_000_000)))

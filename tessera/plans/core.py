@@ -291,7 +291,8 @@ sql("union_all", "SELECT c_name AS name, 'c' AS kind FROM customer UNION ALL SEL
 sql("union_all_constants", "SELECT 1 AS a UNION ALL SELECT 2 UNION ALL SELECT 2 ORDER BY a LIMIT 2")
 
 
-@query()
+@query("""SELECT event_id, event_type, value FROM (
+            SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY CAST('0x' || substr(md5('0|' || event_id || '|1'), 1, 15) AS BIGINT), event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) t
+          WHERE k <= n * 5 // 100""")
 def stratified_sample(spark, sf_dir):
-    """A sampling operator: about 5 of 100 rows of each return flag (tested in pytest)."""
-    return joins.stratified_sample(load(spark, sf_dir, "lineitem"), "l_returnflag", 5.0)
+    return joins.stratified_sample(load(spark, sf_dir, "events").select("event_id", "event_type", "value"), "event_type", 5.0, key=["event_id"])
