@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The columns of the known tables. Reading with them spares the job that infers a schema.
 COLUMNS = {
@@ -82,6 +84,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return reader.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@cache
+def fields(table: str) -> list[T.StructField]:
+    """The fields of a known table."""
+    return T.StructType.fromDDL(COLUMNS[table]).fields
+
+
 def register(spark: SparkSession, sf_dir: str, tables=TABLES) -> None:
     for t in tables:
         load(spark, sf_dir, t).createOrReplaceTempView(t)

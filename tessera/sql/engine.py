@@ -97,6 +97,12 @@ class Engine:
             return self.spark.table(short), None
         raise SqlError(f"unknown table {name}")
 
+    def fields(self, name: str):
+        """The fields of a table of the folder, without asking Spark; None for others."""
+        short = name.split(".")[-1].lower()
+        hidden = name.lower().startswith("information_schema.") or short in self.views or short in self.temporary or short in self.stored
+        return catalog.fields(short) if not hidden and self._given(short) else None
+
     def _given(self, name: str) -> bool:
         return self.sf_dir is not None and name in catalog.COLUMNS and name not in self.dropped
 
@@ -230,13 +236,13 @@ class Engine:
             return self._affected(n)
         assignments = {}
         for name, node in s.assignments:
-            ref = scope.find(Col(name.split(".")[-1], at.alias))
-            if ref is None:
+            found = scope.sources[0].columns.get(name.split(".")[-1].lower())
+            if found is None:
                 raise SqlError(f"unknown column {name}")
-            f = rows.schema[names[[c.name for _, c in scope.sources[0].columns.values()].index(ref.name)]]
+            f = rows.schema[found[0]]
             value = compiler.value(compiler.bind(node, scope), scope)
             cleared = isinstance(node, Lit) and node.value is None
-            assignments[ref.name] = None if cleared else self._fitted(value, f)
+            assignments[f.name] = None if cleared else self._fitted(value, f)
         store.write(dml.update(df, hit, assignments).toDF(*names))
         return self._affected(n)
 
@@ -258,9 +264,9 @@ class Engine:
                 raise SqlError(f"unknown column {name}")
             value = compiler.value(compiler.bind(node, scope), scope)
             if f.dataType.typeName() == "array" and not (isinstance(node, Lit) and node.value is None):
-                value = F.array_union(F.coalesce(F.col(f"`{own[f.name.lower()].name}`"), F.array().cast(f.dataType)), self._fitted(value, f))
+                value = F.array_union(F.coalesce(F.col(own[f.name.lower()].name), F.array().cast(f.dataType)), self._fitted(value, f))
             new[f.name] = self._fitted(value, f) if f.dataType.typeName() != "array" else value.cast(f.dataType)
-        number = F.col(f"`{scope.find(Col(dml.ROW_NUMBER, at.alias)).name}`")
+        number = F.col(scope.find(Col(dml.ROW_NUMBER, at.alias)).name)
         changed = df.select(number.alias("n"), *(v.alias(f"new_{i}") for i, v in enumerate(new.values())))
         changed = changed.groupBy("n").agg(*(F.first(f"new_{i}").alias(f"new_{i}") for i in range(len(new))), F.lit(True).alias("hit"))
         both = keyed.join(changed, F.col(dml.ROW_NUMBER) == F.col("n"), "left")
@@ -278,7 +284,7 @@ class Engine:
         if self._plain(s):
             return self._plain_change(store, at, s)
         keyed, df, scope, _ = self._rows_for(store, at.name.split(".")[-1].lower(), at.alias, s)
-        gone = df.select(F.col(f"`{scope.find(Col(dml.ROW_NUMBER, at.alias)).name}`").alias("n")).distinct()
+        gone = df.select(F.col(scope.find(Col(dml.ROW_NUMBER, at.alias)).name).alias("n")).distinct()
         n = gone.count()
         store.write(keyed.join(gone, F.col(dml.ROW_NUMBER) == F.col("n"), "left_anti").drop(dml.ROW_NUMBER))
         return self._affected(n)
@@ -467,6 +473,9 @@ class _With:
     def __init__(self, engine: Engine, table):
         self._engine, self.table = engine, table
 
+    def fields(self, name: str):
+        return None
+
     def __getattr__(self, name: str):
         return getattr(self._engine, name)
 
