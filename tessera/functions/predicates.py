@@ -121,11 +121,14 @@ def not_regexp(a, pattern: str, null_mode: str = "complement") -> Column:
     return negate(regexp(a, pattern), null_mode)
 
 
+def next_day(literal: str) -> str:
+    return (datetime.date.fromisoformat(literal) + datetime.timedelta(days=1)).isoformat()
+
+
 def time_compare(a, op: str, literal: str) -> Column:
     """A date-only literal stands for its whole day in ``<=`` and ``>``."""
     if DATE_ONLY.fullmatch(literal) and op in ("<=", ">"):
-        after = (datetime.date.fromisoformat(literal) + datetime.timedelta(days=1)).isoformat()
-        return _OPS["<" if op == "<=" else ">="](col(a), F.lit(after).cast("timestamp_ntz"))
+        return _OPS["<" if op == "<=" else ">="](col(a), F.lit(next_day(literal)).cast("timestamp_ntz"))
     return _OPS[op](col(a), F.lit(literal).cast("timestamp_ntz"))
 
 
