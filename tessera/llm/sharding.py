@@ -10,7 +10,8 @@ The law of the result is ``bytes``: the shards' sizes are near equal. Everything
 into one row has at most ``n_slots`` entries; everything that follows the rows is partitioned by slot.
 
 Defined results: a null text has size 1 (no bytes, plus one) and the CRC of the empty string; null
-and repeated doc_ids are ordinary records (a slot is found from id, CRC and size together); an empty table
+and repeated doc_ids are ordinary records (a slot is found from id, CRC and size together, so equal texts under different ids are
+different records and need not share a shard: the law is about sizes); an empty table
 gives an empty result and an empty map; other columns of the input, whatever they are called, are ignored.
 """
 
