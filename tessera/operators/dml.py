@@ -24,6 +24,7 @@ class MissingPredicate(ValueError):
 class StoredTable:
     def __init__(self, spark: SparkSession, path: str, schema: str, primary_key: tuple[str, ...] = ()):
         self.spark, self.path, self.schema, self.primary_key = spark, path.rstrip("/"), schema, primary_key
+        self._spent: list[str] = []
 
     def _versions(self) -> list[int]:
         jvm = self.spark._jvm
@@ -44,6 +45,8 @@ class StoredTable:
     def write(self, df: DataFrame) -> int:
         at = self.version() + 1
         df.write.mode("overwrite").parquet(f"{self.path}/v{at}")
+        while self._spent:
+            self._delete(self._spent.pop())
         return at
 
     def insert(self, rows: DataFrame, order: Column | None = None) -> int:
@@ -55,14 +58,19 @@ class StoredTable:
         return self.write(old.unionByName(rows.select(*(c for c in old.columns if c in rows.columns)), allowMissingColumns=True))
 
     def numbered(self) -> DataFrame:
-        """The rows with a unique number, written so that every use sees the same numbers."""
+        """The rows with a unique number, written so that every use sees the same numbers; the next version that is written
+        takes their place."""
         at = f"{self.path}/numbered-{uuid.uuid4().hex}"
         rows = self.read().withColumn(ROW_NUMBER, F.monotonically_increasing_id())
         rows.write.parquet(at)
+        self._spent.append(at)
         return self.spark.read.schema(rows.schema).parquet(at)
 
     def remove(self) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._delete(self.path)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
     def update(self, predicate: Column | None, assignments: dict[str, Column]) -> int:
