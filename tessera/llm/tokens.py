@@ -13,10 +13,9 @@ offsets (one more than documents), counts, payload. ``dictionary`` has one row:
 Encoding uses the tokenizers library. Where the tokenizer is byte-level BPE that splits text by its usual regular
 expression and has no normaliser, its result for a text is the results for the pieces in turn. A space after anything but
 white space always begins a piece, so a text is cut there into chunks, and the ids of each chunk are remembered
-(``MEMO`` chunks and as many pieces at most, forgotten together). A new chunk is split by the same regular expression here
-only if each of its characters is of the same class (letter, number, white space, other) to the library, which is
-asked once for each character; other chunks, other tokenizers, texts with an added token and texts with runs of white
-space are encoded by the library as they are.
+(``MEMO`` chunks at most, forgotten together). The new chunks of many texts go to the library as a few long texts, ``JOINED``
+chunks in each; the bytes of the tokens, which are those of the text, tell where each chunk's ids end. Chunks with white space
+at an edge, other tokenizers, texts with an added token and texts with runs of white space are encoded by the library as they are.
 
 Defined results: a null or empty text has the end id alone; null doc_ids come first; rows repeated with the same
 doc_id stay apart, ordered by a hash of their text; an empty table gives no rows; other columns are ignored.
@@ -29,8 +28,7 @@ import json
 import os
 import re
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -53,11 +51,8 @@ BLOCK_SCHEMA = (
 )
 DICT_SCHEMA = "dict_hash string, dictionary binary, width int, end_id int"
 
-#: Fixed value: the splitting pattern of byte-level BPE.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same for ASCII texts, in classes that the faster standard module knows.
-ASCII_PIECES = re.compile(PIECES.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(" ?0-9+", " ?[0-9]+"), re.ASCII).findall
-
+#: Chunks looked up at once, and new ones handed to the library as one text.
+GROUP, JOINED = 8_192, 256
 
 #: White space before a space that does not begin a word: cuts at such a space would change the pieces. A superset of
 #: what any library version takes for white space.
@@ -65,17 +60,8 @@ _RUN = re.compile("[\\s\u180e\u200b] (?=[\\s\u180e\u200b]|\\Z)").search
 _MAY_RUN = tuple(c + " " for c in map(chr, range(128)) if c.isspace())
 
 
-class _Memo(dict):
-    """Remembers what ``make`` gives; forgets everything when full."""
-
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        self[key] = value = self.make(key)
-        return value
+#: A chunk that begins and ends with something else.
+_SOLID = re.compile("(?![\\s\u180e\u200b]).*(?<![\\s\u180e\u200b])", re.DOTALL).fullmatch
 
 
 class Encoder:
@@ -85,25 +71,20 @@ class Encoder:
 
     def __init__(self, path: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         self.dtype = np.dtype("<u2") if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else np.dtype("<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.end = np.array([end_id], dtype=self.dtype).tobytes()
         split = spec.get("pre_tokenizer") or {}
         simple = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
-        self.split = regex.compile(PIECES).findall if simple and not spec.get("normalizer") and not spec.get("truncation") else None
-        if self.split:
-            # For text that is one piece already: the same model without the splitting.
-            self.single = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": split | {"use_regex": False}}))
-        self.kind = regex.compile(r"(\p{L})|(\p{N})|(\s)|(.)", regex.DOTALL).match
-        self.agreed: dict[str, bool] = {}
-        self.pieces = _Memo(lambda piece: array(self.code, self.single.encode(piece, add_special_tokens=False).ids).tobytes())
-        self.chunks = _Memo(self._chunk)
+        self.split = str.split if simple and not spec.get("normalizer") and not spec.get("truncation") else None
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)  # a byte-level token has a character for each byte
+        self.bytes[list(vocabulary.values())] = list(map(len, vocabulary))
+        self.chunks: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str, end_id: int) -> Encoder:
@@ -111,40 +92,73 @@ class Encoder:
             cls._own[path, end_id] = cls(path, end_id)
         return cls._own[path, end_id]
 
-    def _agrees(self, c: str) -> bool:
-        """Whether the library puts the character into the same class as the regular expression here."""
-        if c not in self.agreed:
-            # One piece after a letter, a number or a mark: of that class; after none of them: white space.
-            told = [len(self.tokenizer.pre_tokenizer.pre_tokenize_str(before + c)) == 1 for before in "a1!"]
-            self.agreed[c] = [*told, not any(told)][[0, 1, 3, 2][self.kind(c).lastindex - 1]]
-        return self.agreed[c]
-
     def _raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        """The ids of a chunk with the space before it."""
-        if chunk.isascii():
-            return b"".join(map(self.pieces.__getitem__, ASCII_PIECES(" " + chunk)))
-        if all(map(self._agrees, set(chunk))):
-            return b"".join(map(self.pieces.__getitem__, self.split(" " + chunk)))
-        return self._raw(" " + chunk)
-
-    def serialised(self, text: str | None) -> bytes:
-        text = text or ""
+    def _of_joined(self, chunks: list[str]) -> Iterator[bytes]:
+        """The ids of solid chunks, each with the space before it."""
+        spaced = [" " + c for c in chunks]
+        groups = [spaced[at : at + JOINED] for at in range(0, len(spaced), JOINED)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(list(map("".join, groups)), add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype=self.dtype)
+            reached, wanted = np.cumsum(self.bytes[ids]), np.cumsum(list(map(len, map(str.encode, group))))
+            ends = np.searchsorted(reached, wanted)
+            if not len(ids) or reached[-1] != wanted[-1] or (reached[ends] != wanted).any():  # bytes without a token
+                yield from map(self._raw, group)
+                continue
+            raw, ends = ids.tobytes(), ((ends + 1) * self.dtype.itemsize).tolist()
+            yield from map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends))
+
+    def _ids(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of each text's chunks."""
+        wanted = set().union(*texts)
+        new = wanted.difference(self.chunks)
+        if len(self.chunks) + len(new) > MEMO:
+            self.chunks.clear()
+            new = wanted
+        solid = list(filter(_SOLID, new))
+        self.chunks.update(zip(solid, self._of_joined(solid), strict=True))
+        if len(solid) < len(new):
+            self.chunks.update((c, self._raw(" " + c)) for c in new.difference(solid))
+        return [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in texts]
+
+    def _cut(self, text: str) -> tuple[bytes, list[str]]:
+        """The ids of the text's beginning, and the chunks that follow."""
         if self.split is None or any(x in text for x in self.added):
-            return self._raw(text) + self.end
+            return self._raw(text), []
         if (not text.isascii() or any(x in text for x in _MAY_RUN)) and _RUN(text):
-            return self._raw(text) + self.end
-        first, *rest = text.split(" ")
-        return b"".join([self._raw(first) if first else b"", *map(self.chunks.__getitem__, rest), self.end])
+            return self._raw(text), []
+        first, *rest = self.split(text, " ")
+        return self._raw(first) if first else b"", rest
+
+    def each(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The serialised ids of each text."""
+        held, n = [], 0
+        for text in texts:
+            begun, rest = self._cut(text or "")
+            while len(rest) > GROUP:  # a very long text
+                begun, rest = begun + self._ids([rest[:GROUP]])[0], rest[GROUP:]
+            if n + len(rest) > GROUP:
+                yield from self._ended(held)
+                held, n = [], 0
+            held.append((begun, rest))
+            n += len(rest)
+        yield from self._ended(held)
+
+    def _ended(self, held: list[tuple[bytes, list[str]]]) -> list[bytes]:
+        found = self._ids([rest for _, rest in held])
+        return [begun + ids + self.end for (begun, _), ids in zip(held, found, strict=True)]
+
+    def serialised(self, text: str | None) -> bytes:
+        return next(self.each([text]))
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str | None]]:
+def _serialised(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
+    """doc_id and serialised ids of the rows (doc_id, text)."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):  # a few texts as Python strings at a time
             part = batch.slice(at, 256)
-            yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+            yield from zip(part.column(0).to_pylist(), encoder.each(part.column(1).to_pylist()), strict=True)
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
@@ -156,8 +170,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
 
     def serialise(batches):
         encoder = Encoder.of(path, end_id)
-        for _, text in _texts(batches):
-            raw = encoder.serialised(text)
+        for _, raw in _serialised(encoder, batches):
             last = max(0, len(raw) - PIECE)
             places = sorted({last * i // max(1, SAMPLE_PIECES - 1) for i in range(SAMPLE_PIECES)}) if last else [0]
             yield pa.RecordBatch.from_pydict({"ids": [raw[at : at + PIECE] for at in places]})
@@ -201,8 +214,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, block_by
             }
             return pa.RecordBatch.from_pylist([row], schema=_ARROW_BLOCK), total
 
-        for doc_id, text in _texts(batches):
-            raw = encoder.serialised(text)
+        for doc_id, raw in _serialised(encoder, batches):
             ids.append(doc_id)
             counts.append(len(raw) // encoder.dtype.itemsize)
             frames.append(press(raw))

@@ -68,6 +68,39 @@ def test_chunks_are_encoded_as_the_library_does(monkeypatch):
             assert np.frombuffer(own.serialised(text), own.dtype).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2], repr(text)
 
 
+def test_new_chunks_go_to_the_library_together(monkeypatch):
+    """Few calls for many new words; the same ids whatever texts and chunks share a call, or if all is forgotten again and again."""
+    plain, rng = tokenizers_lib.Tokenizer.from_file(path()), random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdefgé,.1'", k=9)) for _ in range(60)) for _ in range(40)]
+    texts += ["".join(rng.choices("ab1 '  \n\t.é漢\u00a0\u180e\u200b s!", k=rng.randrange(16))) for _ in range(800)]
+    want = [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    for most, group, joined in ((tokens.MEMO, tokens.GROUP, tokens.JOINED), (30, 7, 3)):
+        for name, value in (("MEMO", most), ("GROUP", group), ("JOINED", joined)):
+            monkeypatch.setattr(tokens, name, value)
+        own = tokens.Encoder(path(), 2)
+        assert [np.frombuffer(x, own.dtype).tolist() for x in own.each(texts)] == want
+    monkeypatch.undo()
+
+    class Counted:
+        calls = 0
+
+        def __getattr__(self, name):
+            Counted.calls += 1
+            return getattr(plain, name)
+
+    own = tokens.Encoder(path(), 2)
+    own.tokenizer = Counted()
+    assert len(list(own.each(texts[:40]))) == 40 and Counted.calls < 60, Counted.calls
+
+
+def test_bytes_without_a_token_do_not_shift_the_ids_of_others():
+    own = tokens.Encoder(path(), 2)
+    plain = tokenizers_lib.Tokenizer.from_file(path())
+    own.bytes = own.bytes.copy()
+    own.bytes[plain.encode(" b", add_special_tokens=False).ids[0]] = 0
+    assert np.frombuffer(own.serialised("a b c"), own.dtype).tolist() == [*plain.encode("a b c", add_special_tokens=False).ids, 2]
+
+
 def test_other_tokenizers_are_encoded_whole():
     other = tokens.Encoder(public.path("word_bpe_49k.json"), 2)
     plain = tokenizers_lib.Tokenizer.from_file(public.path("word_bpe_49k.json"))
