@@ -103,6 +103,12 @@ class Engine:
         hidden = name.lower().startswith("information_schema.") or short in self.views or short in self.temporary or short in self.stored
         return catalog.fields(short) if not hidden and self._given(short) else None
 
+    def steady(self, name: str) -> bool:
+        """Whether a table's rows are the same each time that a query reads them; a view's may not be."""
+        short = name.split(".")[-1].lower()
+        hidden = name.lower().startswith("information_schema.") or short in self.views
+        return not hidden and (short in self.temporary or short in self.stored or self._given(short))
+
     def _given(self, name: str) -> bool:
         return self.sf_dir is not None and name in catalog.COLUMNS and name not in self.dropped
 

@@ -1,5 +1,7 @@
 """The SQL dialect: what it refuses, statements over a session's tables, and rules that need rows of their own."""
 
+import re
+
 import pytest
 
 from tessera.operators.dml import MissingPredicate
@@ -126,3 +128,67 @@ def test_catalog_and_session(engine):
     engine.run("SET @limit = 3, time_zone = 'UTC'")
     assert one(engine, "SELECT @limit AS a, @@time_zone AS b, version() AS c")[:2] == (3, "UTC")
     assert "Scan" in str(rows("EXPLAIN FORMAT=JSON SELECT * FROM orders")) and engine.run("EXPLAIN SELECT 1").count() > 0
+
+
+def _tables(plan, pairs):
+    """First letters of the columns of the tables whose rows a plan joins; ``pairs`` takes those of each inner join."""
+    below = [_tables(plan.children().apply(i), pairs) for i in range(plan.children().size())]
+    kind = plan.nodeName()
+    if kind == "Union":  # each side has been looked at
+        return set()
+    if not below:
+        return {plan.output().apply(0).name()[0]}
+    if kind == "Join" and plan.joinType().sql() == "LEFT SEMI":
+        return below[0]
+    out = set().union(*below)
+    if kind == "Join":
+        pairs.append(out)
+    return out
+
+
+_SIBLINGS = "nation n JOIN customer c ON c_nationkey = n_nationkey JOIN supplier s ON s_nationkey = n_nationkey"
+
+
+@pytest.mark.parametrize(("source", "keys", "values"), [
+    (_SIBLINGS, "n_name", "count(DISTINCT c_custkey), count(DISTINCT s_suppkey)"),
+    (_SIBLINGS, "n_regionkey", "min(s_acctbal), max(c_name), count(DISTINCT c_mktsegment, c_nationkey), count(DISTINCT n_name), count(DISTINCT 1)"),
+    (_SIBLINGS, "n_name", "sum(DISTINCT s_suppkey), max(c_acctbal * 2 + n_nationkey)"),
+    (_SIBLINGS, None, "count(DISTINCT c_custkey), count(DISTINCT s_suppkey), min(n_name)"),
+    (_SIBLINGS, "n_regionkey * 2, lower(n_name)", "count(DISTINCT s_suppkey)"),
+    (_SIBLINGS, "n_name", None),
+    (f"{_SIBLINGS} AND s_acctbal > 2000 WHERE c_acctbal > 1000 AND n_regionkey <> 2", "n_name", "count(DISTINCT c_custkey), count(DISTINCT s_suppkey)"),
+    (f"{_SIBLINGS} AND s_acctbal > 1e9", None, "count(DISTINCT c_custkey), min(s_suppkey)"),
+    (f"{_SIBLINGS} JOIN orders o ON o_custkey = c_custkey JOIN region r ON r_regionkey = n_regionkey", "r_name", "count(DISTINCT o_orderkey), count(DISTINCT c_custkey), count(DISTINCT s_suppkey)"),
+    ("nation n JOIN customer c ON c_nationkey = n_nationkey JOIN supplier s ON s_nationkey < n_nationkey", "n_name", "count(DISTINCT c_custkey), count(DISTINCT s_suppkey)"),
+    (f"{_SIBLINGS} JOIN customer d ON d.c_nationkey = n_nationkey", "n_name", "count(DISTINCT c.c_custkey), max(d.c_custkey), min(s_suppkey)"),
+])
+def test_siblings_are_not_paired(spark, source, keys, values):
+    engine = Engine(spark, SF)
+    named = [*([f"{k} AS k{i}" for i, k in enumerate(keys.split(", "))] if keys else []), *([f"{v} AS v{i}" for i, v in enumerate(re.split(r", (?=\w+\()", values))] if values else [])]
+    tail = f" GROUP BY {keys}" if keys else ""
+    made = engine.run(f"SELECT {', '.join(named)} FROM {source}{tail}")
+    # From a derived table, whose pairs are all made, as from views.
+    columns = "n_name, n_nationkey, n_regionkey, c.c_custkey AS c_custkey, c.c_name AS c_name, c.c_nationkey AS c_nationkey, c.c_acctbal AS c_acctbal, c.c_mktsegment AS c_mktsegment, s_suppkey, s_acctbal"
+    columns += ", o_orderkey, r_name" if "orders" in source else ", d.c_custkey AS d_custkey" if "customer d" in source else ""
+    paired = engine.run(f"SELECT {', '.join(named)} FROM (SELECT {columns} FROM {source}) j{tail}".replace("max(d.c_custkey)", "max(d_custkey)").replace("c.c_custkey)", "c_custkey)"))
+    assert sorted(map(tuple, made.collect()), key=str) == sorted(map(tuple, paired.collect()), key=str) and made.dtypes == paired.dtypes
+    for df, expected in ((made, False), (paired, True)):
+        _tables(df._jdf.queryExecution().optimizedPlan(), pairs := [])
+        assert any({"c", "s"} <= p for p in pairs) == expected
+
+
+def test_siblings_with_nulls_and_repeated_rows(engine):
+    engine.run("CREATE TEMPORARY TABLE mid (k int, g varchar(9))")
+    engine.run("INSERT INTO mid VALUES (1, 'a'), (1, 'a'), (2, 'a'), (2, NULL), (3, NULL), (4, 'only a'), (5, 'only b'), (NULL, 'none')")
+    for t in ("a", "b"):
+        engine.run(f"CREATE TEMPORARY TABLE {t}{t} ({t}k int, {t}v double)")
+    engine.run("INSERT INTO aa VALUES (1, 5), (1, 5), (1, 6), (2, 6), (2, 7), (3, NULL), (4, 1), (NULL, 9)")
+    engine.run("INSERT INTO bb VALUES (1, -1), (2, NULL), (2, -2), (3, -3), (3, -3), (5, 1), (NULL, 9)")
+    source = "mid JOIN aa ON ak = k JOIN bb ON bk = k"
+    both = "count(DISTINCT av) AS a, count(DISTINCT bv) AS b, max(av) AS high"
+    rows = {tuple(r) for r in engine.run(f"SELECT g, {both} FROM {source} GROUP BY g").collect()}
+    assert rows == {("a", 3, 2, 7.0), (None, 2, 2, 7.0)}
+    assert one(engine, f"SELECT {both} FROM {source}") == (3, 3, 7.0)
+    # Where repeated rows count, or a row without a match stays, the pairs are made.
+    assert {tuple(r) for r in engine.run(f"SELECT g, count(*) AS n, count(DISTINCT av) AS a FROM {source} GROUP BY g").collect()} == {("a", 10, 3), (None, 6, 2)}
+    assert {tuple(r) for r in engine.run("SELECT g, count(DISTINCT av) AS a, count(DISTINCT bv) AS b FROM mid JOIN aa ON ak = k LEFT JOIN bb ON bk = k GROUP BY g").collect()} == {("a", 3, 2), (None, 2, 2), ("only a", 1, 0)}
